@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ._common import bounded_sample, fold
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, longest: int) -> pd.DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, longest: int) -> tuple[pd.DataFrame, float]:
     """Texts of at most ``per_class`` labelled rows of either class, outside the held-out fold, of
     texts of at most ``longest`` characters: the sample that a classifier may be fitted on.
 
     Ids are sampled from the labels alone; only those rows' texts are fetched. A document with
-    several labels counts as 0 if any is 0. Ordered by id, so fits repeat exactly.
+    several labels counts as 0 if any is 0. Ordered by id, so fits repeat exactly. Second: by how much
+    the log odds of label 1 are greater among all labelled rows than in the sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     ids = None
@@ -24,7 +25,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
         ids = part if ids is None else ids.union(part)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
     out = rows.join(F.broadcast(ids), "doc_id").toPandas()  # at most 2 * per_class ids
-    return out.sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
+    out = out.sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    y = out["y"].to_numpy()
+    odds = np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)) - np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1))
+    return out, float(odds)
 
 
 class Logistic:

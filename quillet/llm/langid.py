@@ -23,6 +23,9 @@ PER_LANG, LANGS, WORDS, GRAM = 1500, 200, 40_000, 5
 #: How much an unseen word counts against a known one.
 BACKOFF = 0.5
 STORE = 300_000
+#: Times that an n-gram is met at least; letters of an unseen word that are cut into n-grams: a longer
+#: run of letters without a break adds what its first such part adds.
+LEAST, LONG = 3, 200
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -32,36 +35,38 @@ class Model:
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
         n = max(1, len(self.langs))
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(GRAM + 1)]
+        self.words, self.word_vectors = self._log([(w, at[lang], c) for lang, w, c in counts], n, 1)
+        grams: list[list] = [[] for _ in range(GRAM + 1)]
         for lang, w, c in counts:
-            words[w][at[lang]] += c
             for k, g in all_grams(w):
-                grams[k][g][at[lang]] += c
-        self.words = self._log(words)
-        self.grams = [self._log(g) if g else {} for g in grams]
+                grams[k].append((g, at[lang], c))
+        self.grams, self.gram_vectors = zip(*(self._log(g, n, LEAST) for g in grams))
 
     @staticmethod
-    def _log(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        total = sum(counts.values())
-        floor = np.log(0.5 / (total + 1))
-        return {k: np.where(v > 0, np.log((v + 0.5) / (total + 1)), floor) for k, v in counts.items()}
+    def _log(counts: list[tuple[str, int, int]], n: int, least: int) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers of the strings met ``least`` times, and their log frequencies in each language."""
+        row: dict[str, int] = {}
+        rows = np.fromiter((row.setdefault(k, len(row)) for k, _, _ in counts), np.int64, len(counts))
+        v = np.zeros((len(row), n))
+        np.add.at(v, (rows, np.fromiter((x[1] for x in counts), np.int64, len(counts))), np.fromiter((x[2] for x in counts), float, len(counts)))
+        total = v.sum(axis=0)
+        keep = v.sum(axis=1) >= least
+        names = [k for k, ok in zip(row, keep) if ok]
+        return dict(zip(names, range(len(names)))), np.log((v[keep] + 0.5) / (total + 1)).astype(np.float32)
 
     def vector(self, word: str) -> np.ndarray:
         """What one token of ``word`` adds for each language."""
-        v = self.words.get(word)
-        if v is not None:
-            return v
+        i = self.words.get(word)
+        if i is not None:
+            return self.word_vectors[i]
         by = defaultdict(list)
-        for k, g in all_grams(word):
-            v = self.grams[k].get(g)
-            if v is not None:
-                by[k].append(v)
+        for k, g in all_grams(word[:LONG]):
+            i = self.grams[k].get(g)
+            if i is not None:
+                by[k].append(i)
         for k in range(GRAM, 0, -1):
             if by[k]:
-                return BACKOFF * np.mean(by[k], axis=0)
+                return BACKOFF * self.gram_vectors[k][by[k]].mean(axis=0)
         return np.zeros(len(self.langs))
 
 

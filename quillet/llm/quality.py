@@ -23,6 +23,8 @@ DICTIONARY = 48 << 10
 BLOCK = 4096
 LEVEL = 1
 THRESHOLD = 0.7
+#: Bytes that either size of a text is drawn by.
+SHORT = 100
 
 
 class Model:
@@ -57,9 +59,10 @@ class Model:
         n = len(text)
         if not n:
             return [0.0] * 7
-        d, ratio = (b - g) / (b + g), min(1.5, (g + b) / (2 * n))
+        # Short texts say little: both measures are drawn to what says nothing.
+        d, ratio = (b - g) / (b + g + SHORT), (g + b + SHORT) / (2 * n + 2 * SHORT)
         size = np.log1p(n)
-        return [d, d * size, (b - g) / np.sqrt(b + g), ratio, np.log(ratio), ratio * size, size]
+        return [d, d * size, (b - g) / np.sqrt(b + g + SHORT), ratio, np.log(ratio), ratio * size, size]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts]).reshape(-1, 7)
@@ -77,7 +80,7 @@ def dictionary(texts: list[bytes]) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "quality") -> Model:
     """Half of the sample builds the dictionaries, the other half calibrates."""
-    s = labelled_texts(docs, labels, label, 4, 2, per_class, LONGEST)
+    s, odds = labelled_texts(docs, labels, label, 4, 2, per_class, LONGEST)
     raw = [t.encode() for t in s["text"]]
     y = s["y"].to_numpy(int)
     for_dict = np.arange(len(s)) % 2 == 0
@@ -85,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
     rest = np.flatnonzero(~for_dict)
     x = np.array([model.features(raw[i]) for i in rest]).reshape(-1, 7)
     model.calibrated = Logistic(x, y[rest].astype(float))
+    model.calibrated.w[0] += odds
     return model
 
 

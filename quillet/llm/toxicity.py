@@ -78,7 +78,7 @@ class BlockMaxIndex:
 
 
 class Model:
-    def __init__(self, texts: list[str], ids: list[int], y: np.ndarray):
+    def __init__(self, texts: list[str], ids: list[int], y: np.ndarray, odds: float = 0.0):
         self.example_ids, self.y = np.array(ids, np.int64), y
         bags = [Counter(t for w in WORD.findall(x.lower()) for t in terms(w)) for x in texts]
         df = [Counter(), Counter()]
@@ -102,6 +102,7 @@ class Model:
         at = [i for i in range(len(bags)) if i % 3 == 0]
         x = np.array([self.votes(vectors[i], i)[0] for i in at]).reshape(-1, 3)
         self.calibrated = Logistic(x, y[at].astype(float), 0.1)
+        self.calibrated.w[0] += odds
         self.none = float(self.calibrated(np.zeros((1, 3)))[0])
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
@@ -155,8 +156,8 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    s = labelled_texts(docs, labels, "toxic", 3, 1, per_class, LONGEST)
-    return Model(s["text"].tolist(), s["doc_id"].tolist(), s["y"].to_numpy(int))
+    s, odds = labelled_texts(docs, labels, "toxic", 3, 1, per_class, LONGEST)
+    return Model(s["text"].tolist(), s["doc_id"].tolist(), s["y"].to_numpy(int), odds)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: bool = False) -> DataFrame:
