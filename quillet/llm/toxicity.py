@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first letters; those that a chi-squared test finds bound to a label form
+Terms are words and their first letters; those that a chi-squared test finds bound to label 1 form
 the vocabulary. Examples stand in an inverted index whose postings are cut into blocks with their
 largest weights. A query visits blocks by falling upper bound and stops once no block can better
 its k-th neighbour, so its neighbours are exact. Votes weighted by similarity are calibrated.
@@ -21,7 +21,7 @@ from ._common import fold
 from ._learn import Logistic, labelled_texts
 
 #: Labelled rows of either class that serve as examples at most, and their longest text.
-PER_CLASS, LONGEST = 6000, 100_000
+PER_CLASS, LONGEST = 3000, 100_000
 TERMS, CHI2, MIN_DF, STEM = 4096, 30.0, 3, 4
 BLOCK, NEIGHBOURS = 64, 15
 #: Similarity that stands for "no neighbour": weak neighbours move a score little.
@@ -45,61 +45,60 @@ class BlockMaxIndex:
         for i, v in enumerate(vectors):
             for t, w in v.items():
                 post[t].append((i, w))
-        self.ids = [np.array([i for i, _ in p], np.int64) for p in post]
-        self.weights = [np.array([w for _, w in p]) for p in post]
-        self.blocks, self.cuts, self.most = [], [], []
-        for ids, w in zip(self.ids, self.weights):
+        self.blocks, self.most, self.slots = [], [], []
+        for p in post:
+            ids, w = np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])
             blocks, cuts = np.unique(ids // BLOCK, return_index=True)
+            ends = np.append(cuts[1:], len(ids))
             self.blocks.append(blocks)
-            self.cuts.append(np.append(cuts, len(ids)))
             self.most.append(np.maximum.reduceat(w, cuts) if len(ids) else np.zeros(0))
+            self.slots.append({b: (ids[lo:hi] - b * BLOCK, w[lo:hi]) for b, lo, hi in zip(blocks.tolist(), cuts.tolist(), ends.tolist())})
 
     def search(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above zero, nearest first, ties to the smaller one."""
         bound = np.zeros(self.n // BLOCK + 1)
         for t, q in query.items():
             bound[self.blocks[t]] += q * self.most[t]
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) == k and bound[b] < sims[-1] - 1e-12:
+        ids, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 0 or bound[b] < least - 1e-12:
                 break
             part = np.zeros(BLOCK)
             for t, q in query.items():
-                at = np.searchsorted(self.blocks[t], b)
-                if at < len(self.blocks[t]) and self.blocks[t][at] == b:
-                    lo, hi = self.cuts[t][at], self.cuts[t][at + 1]
-                    part[self.ids[t][lo:hi] - b * BLOCK] += q * self.weights[t][lo:hi]
-            hit = np.flatnonzero(part > 0)
+                if (slot := self.slots[t].get(b)) is not None:
+                    part[slot[0]] += q * slot[1]
+            hit = np.flatnonzero((part > 0) & (part >= least))
             hit = hit[hit + b * BLOCK != skip]
-            ids, sims = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([sims, part[hit]])
-            order = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[order], sims[order]
+            if len(hit):
+                ids, sims = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([sims, part[hit]])
+                order = np.lexsort((ids, -sims))[:k]
+                ids, sims = ids[order], sims[order]
+                least = sims[-1] if len(ids) == k else 0.0
         return ids, sims
 
 
 class Model:
     def __init__(self, texts: list[str], ids: list[int], y: np.ndarray, odds: float = 0.0):
         self.example_ids, self.y = np.array(ids, np.int64), y
-        bags = [Counter(t for w in WORD.findall(x.lower()) for t in terms(w)) for x in texts]
         df = [Counter(), Counter()]
-        for bag, c in zip(bags, y):
-            df[c].update(bag.keys())
+        for x, c in zip(texts, y):
+            df[c].update({t for w in set(WORD.findall(x.lower())) for t in terms(w)})
         n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())], float)
-        ranked = []
-        for t in df[0].keys() | df[1].keys():
-            a, b = df[1][t], df[0][t]
-            if a + b >= MIN_DF:
-                expect = (a + b) * n[1] / n.sum()
-                chi2 = (a - expect) ** 2 / expect + (a - expect) ** 2 / max(a + b - expect, 1e-9)
-                # against the label that it is bound to
-                if chi2 * (n.sum() / (n.sum() - a - b + 1e-9) if a + b < n.sum() else 1) >= CHI2:
+        share, ranked = n[1] / n.sum(), []
+        for t, a in df[1].items():
+            total = a + df[0][t]
+            expect = total * share
+            if total >= MIN_DF and a > expect:
+                chi2 = (a - expect) ** 2 / (expect * (1 - share) * max(1 - total / n.sum(), 1 / n.sum()))
+                if chi2 >= CHI2:
                     ranked.append((-chi2, t))
         chosen = [t for _, t in sorted(ranked)[:TERMS]]
         self.index = {t: i for i, t in enumerate(chosen)}
         self.idf = np.log((n.sum() + 1) / (np.array([df[0][t] + df[1][t] for t in chosen]) + 1.0)) + 1
-        vectors = [self.vector({self.index[t]: c for t, c in bag.items() if t in self.index}) for bag in bags]
+        scorer = Scorer(self)
+        vectors = [self.vector(scorer.counts(x)) for x in texts]
         self.search = BlockMaxIndex(vectors, len(chosen))
-        at = [i for i in range(len(bags)) if i % 3 == 0]
+        at = [i for i in range(len(texts)) if i % 3 == 0]
         x = np.array([self.votes(vectors[i], i)[0] for i in at]).reshape(-1, 3)
         self.calibrated = Logistic(x, y[at].astype(float), 0.1)
         self.calibrated.w[0] += odds
@@ -133,11 +132,12 @@ class Scorer:
         if len(self.known) > STORE:
             self.known = {}
         got = list(map(self.known.get, words))
-        out: Counter = Counter()
-        for w, g in zip(words, got) if None in got else ():
-            if g is None and w not in self.known:
+        if None in got:
+            for w in set(words).difference(self.known):
                 self.known[w] = tuple(self.m.index[t] for t in terms(w) if t in self.m.index)
-        for g in filter(None, map(self.known.get, words) if None in got else got):
+            got = map(self.known.__getitem__, words)
+        out: Counter = Counter()
+        for g in filter(None, got):
             out.update(g)
         return out
 
