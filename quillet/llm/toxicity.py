@@ -97,6 +97,11 @@ class Model:
         self.idf = np.log((n.sum() + 1) / (np.array([df[0][t] + df[1][t] for t in chosen]) + 1.0)) + 1
         scorer = Scorer(self)
         vectors = [self.vector(scorer.counts(x)) for x in texts]
+        # Examples of one leading term stand together, so that block maxima bound closely.
+        lead = [max(((w, -t) for t, w in v.items()), default=(0.0, 0)) for v in vectors]
+        order = sorted(range(len(texts)), key=lambda i: (lead[i][1], -lead[i][0], ids[i]))
+        vectors, y, self.y = [vectors[i] for i in order], y[order], y[order]
+        self.example_ids = self.example_ids[order]
         self.search = BlockMaxIndex(vectors, len(chosen))
         at = [i for i in range(len(texts)) if i % 3 == 0]
         x = np.array([self.votes(vectors[i], i)[0] for i in at]).reshape(-1, 3)
