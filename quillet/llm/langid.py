@@ -7,7 +7,7 @@ character n-grams that are known, and to shorter ones where none is.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ from ._common import fold
 
 #: Documents of each language that the model is fitted on (expected number), languages at most,
 #: words kept of each language, the longest n-gram.
-PER_LANG, LANGS, WORDS, GRAM = 1500, 200, 40_000, 5
+PER_LANG, LANGS, WORDS, GRAM = 1500, 200, 30_000, 5
 #: How much an unseen word counts against a known one.
 BACKOFF = 0.5
 STORE = 300_000
@@ -36,11 +36,11 @@ class Model:
         at = {lang: i for i, lang in enumerate(self.langs)}
         n = max(1, len(self.langs))
         self.words, self.word_vectors = self._log([(w, at[lang], c) for lang, w, c in counts], n, 1)
-        grams: list[list] = [[] for _ in range(GRAM + 1)]
-        for lang, w, c in counts:
-            for k, g in all_grams(w):
-                grams[k].append((g, at[lang], c))
-        self.grams, self.gram_vectors = zip(*(self._log(g, n, LEAST) for g in grams))
+        self.grams, self.gram_vectors = [{}], [np.zeros((0, n), np.float32)]
+        for k in range(1, GRAM + 1):
+            table, vectors = self._log([(g, at[lang], c) for lang, w, c in counts for g in grams_of(w, k)], n, LEAST)
+            self.grams.append(table)
+            self.gram_vectors.append(vectors)
 
     @staticmethod
     def _log(counts: list[tuple[str, int, int]], n: int, least: int) -> tuple[dict[str, int], np.ndarray]:
@@ -59,23 +59,16 @@ class Model:
         i = self.words.get(word)
         if i is not None:
             return self.word_vectors[i]
-        by = defaultdict(list)
-        for k, g in all_grams(word[:LONG]):
-            i = self.grams[k].get(g)
-            if i is not None:
-                by[k].append(i)
         for k in range(GRAM, 0, -1):
-            if by[k]:
-                return BACKOFF * self.gram_vectors[k][by[k]].mean(axis=0)
+            known = [i for g in grams_of(word[:LONG], k) if (i := self.grams[k].get(g)) is not None]
+            if known:
+                return BACKOFF * self.gram_vectors[k][known].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
-def all_grams(word: str):
-    padded = f"<{word}>"
-    for k in range(1, GRAM + 1):
-        source = word if k == 1 else padded
-        for i in range(len(source) - k + 1):
-            yield k, source[i : i + k]
+def grams_of(word: str, k: int) -> list[str]:
+    source = word if k == 1 else f"<{word}>"
+    return [source[i : i + k] for i in range(len(source) - k + 1)]
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
