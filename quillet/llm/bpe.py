@@ -26,9 +26,11 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 EXACT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: The same for texts whose only numbers are decimal digits, which the standard library can tell.
 QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w{WHITE}]|_)+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Pretokens never cross from other characters into white space: what may be cut first.
+COARSE = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 ODD_NUMBERS = regex.compile(r"[\p{Nl}\p{No}]")
-#: Pretokens kept with their ids in a worker; at the bound the store starts anew.
-STORE = 400_000
+#: Chunks, and pretokens, that a worker keeps with their ids; at the bound a store starts anew.
+STORE = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -174,6 +176,7 @@ class Encoder:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.store: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.v.added.items()}
 
     def pretokens(self, text: str) -> list[str]:
@@ -181,6 +184,16 @@ class Encoder:
             return EXACT.findall(text)
         return QUICK.findall(text)
 
+    def learn(self, chunks: list[str]) -> None:
+        """Ids of chunks from those of their pretokens."""
+        if len(self.words) > STORE:
+            self.words = {}
+        cut = [self.pretokens(c) for c in chunks]
+        words = list({w for own in cut for w in own}.difference(self.words))
+        self.words.update(zip(words, encode_pretokens(self.v, words)))
+        get = self.words.__getitem__
+        self.store.update((c, b"".join(map(get, own))) for c, own in zip(chunks, cut))
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; strings of added tokens in a text stand for those tokens."""
         flat: list = []
@@ -188,16 +201,15 @@ class Encoder:
         for t in texts:
             if any(a in t for a in self.special):
                 for x in self.v.split.split(t):
-                    flat += [self.special[x]] if x in self.special else self.pretokens(x)
+                    flat += [self.special[x]] if x in self.special else COARSE.findall(x)
             else:
-                flat += self.pretokens(t)
+                flat += COARSE.findall(t)
             ends.append(len(flat))
         if len(self.store) > STORE:
             self.store = {}
         got = list(map(self.store.get, flat))
         lost = [i for i, g in enumerate(got) if g is None]
-        missing = list({flat[i] for i in lost if type(flat[i]) is str})
-        self.store.update(zip(missing, encode_pretokens(self.v, missing)))
+        self.learn(list({flat[i] for i in lost if type(flat[i]) is str}))
         for i in lost:
             w = flat[i]
             got[i] = w if type(w) is bytes else self.store[w]

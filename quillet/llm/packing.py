@@ -23,11 +23,13 @@ from ._common import save
 from .bpe import ODD_NUMBERS, WHITE
 
 LENGTH, WINDOWS, LEAST_CUT, END = 4096, 32, 32, 2
-STORE = 400_000
+#: Chunks between blanks, and pretokens, that a worker keeps with their ids.
+STORE = 500_000
 #: Leftover windows that are merged by one task.
 MERGE = 32
 #: The public pretoken pattern of the word-end vocabulary, for decimal digits (fixed values).
 QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w{WHITE}]|_)+")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -47,32 +49,41 @@ class WordEncoder:
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
         self.store: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.end = np.array([END], "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of pretokens, many in one call: each ends in its one word-end id."""
+    def learn(self, chunks: list[str]) -> None:
+        """Ids of chunks: those of their pretokens, the unknown ones of which the library encodes many
+        in one call. Each pretoken ends in its one word-end id."""
+        if len(self.words) > STORE:
+            self.words = {}
+        cut = [QUICK.findall(c) for c in chunks]
+        words = list({w for own in cut for w in own}.difference(self.words))
         for at in range(0, len(words), 2000):
             own = words[at : at + 2000]
             ids = np.array(self.t.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(own):
                 raw, b = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.store.update(zip(own, (raw[x:y] for x, y in zip(b, b[1:]))))
+                self.words.update(zip(own, (raw[x:y] for x, y in zip(b, b[1:]))))
             else:
-                self.store.update((w, np.array(self.t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in own)
+                self.words.update((w, np.array(self.t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in own)
+        get = self.words.__getitem__
+        self.store.update((c, b"".join(map(get, own))) for c, own in zip(chunks, cut))
 
     def plain(self, text: str) -> bool:
-        """Whether the pretokens of ``text`` can be told here; else the library takes it whole."""
-        if text.isascii():
-            return not any(s in text for s in self.special)
-        return "Σ" not in text and "İ" not in text and not any(s in text for s in self.special) and unicodedata.is_normalized("NFC", text) and not ODD_NUMBERS.search(text)
+        """Whether the pretokens of ``text`` can be told here; else the library takes it whole. The four
+        separators are blanks to Python alone."""
+        if any(s in text for s in SEPARATORS) or any(s in text for s in self.special):
+            return False
+        return text.isascii() or "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text) and not ODD_NUMBERS.search(text)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         flat: list[str] = []
         ends, whole = [], {}
         for i, t in enumerate(texts):
             if self.plain(t):
-                flat += QUICK.findall(t.lower())
+                flat += t.lower().split()
             else:
                 whole[i] = np.array(self.t.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             ends.append(len(flat))
