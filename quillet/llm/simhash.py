@@ -25,8 +25,8 @@ BITS = 64
 #: Fingerprints compared as one block; larger buckets are split into pairs of blocks.
 BLOCK = 4096
 #: Cost of one dealt row against one comparison, as measured; it steers the plan, not the result.
-ROW_COST = 600.0
-SAMPLE = 2000
+ROW_COST = 1500.0
+SAMPLE, SIZING = 2000, 16
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -237,7 +237,9 @@ def links(unique: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
 
     schema = ", ".join(f"{x} long" for x in names)
     dealt = unique.select(*names).mapInArrow(deal, f"key long, side byte, {schema}").withColumn("block", F.lit(0))
-    sizes = unique.select(*names[:1]).mapInArrow(_keys_only(deals), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    # Bucket sizes are estimated from one row in SIZING; they decide how a bucket is split, no more.
+    some = unique.select(*names).where(F.pmod(F.xxhash64("fp"), F.lit(SIZING)) == 0).mapInArrow(deal, f"key long, side byte, {schema}")
+    sizes = some.groupBy("key").agg((F.count("*") * SIZING).alias("n")).where(F.col("n") > BLOCK)
     heavy = save(sizes)
     if heavy.limit(1).count():
         # A large bucket becomes pairs of blocks: a row of block x goes to (x, y) for every y.
@@ -292,20 +294,6 @@ def comb_sum(width: int, radius: int) -> int:
     return sum(comb(width, r) for r in range(radius + 1))
 
 
-def _keys_only(deals):
-    """Bucket sizes, summed in each task before they are shuffled."""
-
-    def run(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for p, bits, masks, _ in deals:
-                for at in range(0, len(fp), 2000):
-                    key, n = np.unique((project(fp[at : at + 2000], bits)[:, None] ^ masks[None, :]) | (np.int64(p) << 40), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return run
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 12, wide: int | None = 44) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable.
 
