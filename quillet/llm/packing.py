@@ -24,7 +24,7 @@ from .bpe import ODD_NUMBERS, WHITE
 
 LENGTH, WINDOWS, LEAST_CUT, END = 4096, 32, 32, 2
 #: Chunks between blanks, and pretokens, that a worker keeps with their ids.
-STORE = 500_000
+STORE = 800_000
 #: Leftover windows that are merged by one task.
 MERGE = 32
 #: The public pretoken pattern of the word-end vocabulary, for decimal digits (fixed values).
@@ -61,7 +61,7 @@ class WordEncoder:
         words = list({w for own in cut for w in own}.difference(self.words))
         for at in range(0, len(words), 2000):
             own = words[at : at + 2000]
-            ids = np.array(self.t.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.t.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(own):
                 raw, b = ids.tobytes(), [0, *(4 * ends).tolist()]
