@@ -306,7 +306,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = save(fingerprints(df, id_col, text_col, shingle, wide is not None))
     key = F.xxhash64(*names) if wide is not None else F.col("fp")
     unique = save(docs.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", key))
-    comp = save(components(links(unique, tau, wide)))
+    moved = components(links(unique, tau, wide))
+    comp = save(moved.union(moved.select("root", "root").distinct()))
     roots = unique.join(comp, "node").groupBy("root").agg(F.min("low").alias("component_id"))
     moved = comp.join(roots, "root").select("node", "component_id")
     label = save(unique.join(moved, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id")))
