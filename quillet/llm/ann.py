@@ -66,7 +66,7 @@ def sample_matrix(rows: DataFrame, n: int, limit: int) -> np.ndarray:
     """Unit vectors of about ``limit`` rows, the same on every run."""
     step = max(1, -(-n // limit))
     got = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).orderBy("vec_id").select("unit").limit(2 * limit).toPandas()["unit"]
-    return np.frombuffer(b"".join(map(bytes, got)), np.float64).reshape(len(got), -1)
+    return np.frombuffer(b"".join(map(bytes, got)), np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, 1))
 
 
 class Forest:
