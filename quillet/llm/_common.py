@@ -33,6 +33,23 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def kept(make, path: str):
+    """What ``make`` builds of ``path``, kept for later tasks of this worker. A worker keeps one such
+    object: it goes when a task asks for another, or releases it."""
+    if (make, path) not in _kept:
+        _kept.clear()
+        _kept[make, path] = make(path)
+    return _kept[make, path]
+
+
+def release() -> None:
+    """Frees what earlier tasks of other operators kept in this worker."""
+    _kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

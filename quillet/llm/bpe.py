@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import kept
+
 NONE = np.int64(1) << 60
 #: White space of the Unicode standard, as the pretoken pattern understands it (fixed values).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -220,15 +222,6 @@ class Encoder:
         return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts of a batch, a bounded number of characters at a time (one text at least)."""
     ids, texts, size, at = batch.column(0), [], 0, 0
@@ -247,7 +240,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, ids array<int>, decoded string) for every row; null text counts as empty."""
 
     def run(batches):
-        e = encoder(path)
+        e = kept(Encoder, path)
         for batch in batches:
             for ids, texts in slices(batch):
                 got = e.encode_batch(texts)
@@ -260,7 +253,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip): the same work, ids kept in the task."""
 
     def run(batches):
-        e = encoder(path)
+        e = kept(Encoder, path)
         for batch in batches:
             for ids, texts in slices(batch):
                 got = e.encode_batch(texts)

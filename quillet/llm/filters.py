@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._common import release
+
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
     """Rows of ``df`` whose text the function that ``make`` builds (once a task) accepts."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         accept = make()
         for batch in batches:
             yield batch.filter(pa.array([accept(t.as_py()) for t in batch.column(at)], pa.bool_()))

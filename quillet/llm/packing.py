@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import save
+from ._common import kept, save
 from .bpe import ODD_NUMBERS, WHITE
 
 LENGTH, WINDOWS, LEAST_CUT, END = 4096, 32, 32, 2
@@ -98,16 +98,6 @@ class WordEncoder:
         return [whole.get(i, b"") or b"".join(got[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks of a worker, so that what it has met stays known."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 class Packer:
     """Places pieces (doc_id, start, ids, doc_tokens) and hands out rows of full sequences."""
 
@@ -187,7 +177,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path), TaskContext.get().partitionId()
+        encode, part = kept(WordEncoder, path), TaskContext.get().partitionId()
         packer = Packer(part << 32, windows=windows)
         for batch in batches:
             for ids, texts in _slices(batch):

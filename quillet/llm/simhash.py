@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, local_components, save
+from ._common import components, local_components, release, save
 
 BITS = 64
 #: Fingerprints compared as one block; larger buckets are split into pairs of blocks.
@@ -27,6 +27,8 @@ BLOCK = 16384
 #: Cost of one dealt row against one comparison, as measured; it steers the plan, not the result.
 ROW_COST = 600.0
 SAMPLE, SIZING = 2000, 16
+#: Pairs that a task holds at once.
+PAIRS = 500_000
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -76,6 +78,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["fp", "w1", "w2", "w3"] if wide else ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = np.zeros((batch.num_rows, len(names)), np.uint64)
             for i, text in enumerate(batch.column(1)):
@@ -179,12 +182,16 @@ def _verified(words: np.ndarray, i: np.ndarray, j: np.ndarray, tau: int, wide: i
 
 
 def _bucket_links(key: np.ndarray, side: np.ndarray, words: np.ndarray, tau: int, wide: int | None):
-    """Positions (i, j) of verified pairs in rows sorted by key; side 0: index, 1: probe only."""
+    """Positions (i, j) of verified pairs in rows sorted by key; side 0: index, 1: probe only.
+
+    At most about PAIRS pairs are in memory. Of a large bucket, only links that join what is still
+    apart are verified and given: fewer than its rows, however many of them are near copies.
+    """
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    small = (size > 1) & (size <= 64)
-    for at in range(0, int(small.sum()), 4096):
-        s, n = start[small][at : at + 4096], size[small][at : at + 4096]
+    small = np.flatnonzero((size > 1) & (size <= 64))
+    for own in np.split(small, np.flatnonzero(np.diff(np.cumsum(size[small] ** 2) // PAIRS)) + 1):
+        s, n = start[own], size[own]
         rows = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         reps, first = np.repeat(n, n), np.repeat(s, n)
         index = side[rows] == 0
@@ -198,17 +205,25 @@ def _bucket_links(key: np.ndarray, side: np.ndarray, words: np.ndarray, tau: int
         ok = _verified(words, i, j, tau, wide)
         yield i[ok], j[ok]
     for s, n in zip(start[size > 64], size[size > 64]):
-        rows = np.arange(s, s + n)
-        index = rows[side[rows] == 0]
-        step = max(1, 2_000_000 // n)
+        fp, label = words[0][s : s + n], np.arange(n)
+        index = np.flatnonzero(side[s : s + n] == 0)
+        step = max(1, PAIRS // n)
         for at in range(0, len(index), step):
             own = index[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(words[0][own][:, None] ^ words[0][rows][None, :]) <= tau)
-            i, j = own[i], rows[j]
-            keep = i != j
-            i, j = i[keep], j[keep]
-            ok = _verified(words, i, j, tau, wide)
-            yield i[ok], j[ok]
+            near = np.bitwise_count(fp[own][:, None] ^ fp[None, :]) <= tau
+            if np.count_nonzero(near) > 4 * len(own):
+                near &= label[own][:, None] != label[None, :]
+            i, j = np.nonzero(near)
+            i = own[i]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            ok = _verified(words, s + i, s + j, tau, wide)
+            if ok.any():
+                a, b = local_components(label[i[ok]], label[j[ok]])
+                onto = np.arange(n)
+                onto[a] = b
+                label = onto[label]
+                yield s + a, s + b
 
 
 def links(unique: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
@@ -249,35 +264,44 @@ def links(unique: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
         dealt = dealt.drop("block").join(heavy, "key", "left").withColumn("block", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pair))).select("key", "side", *names, "block")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[np.ndarray] = []
-        found_a, found_b, count = [], [], 0
+        found_a, found_b, pending = [], [], 0
 
-        def flush():
+        def shrink() -> int:
+            """What is found becomes star edges, fewer than the nodes it names."""
             a, b = local_components(np.concatenate(found_a), np.concatenate(found_b))
-            found_a.clear(), found_b.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found_a[:], found_b[:] = [a], [b]
+            return len(a)
+
+        def flush():
+            shrink()
+            return pa.RecordBatch.from_arrays([pa.array(found_a.pop()), pa.array(found_b.pop())], ["a", "b"])
 
-        def work(cols: list[np.ndarray]) -> int:
+        def work(cols: list[np.ndarray]) -> None:
+            nonlocal pending
             group = cols[0] * 1 if not cols[-1].any() else np.cumsum(np.r_[0, (cols[0][1:] != cols[0][:-1]) | (cols[-1][1:] != cols[-1][:-1])])
-            words, node, got = [c.view(np.uint64) for c in cols[2 : 3 if wide is None else 6]], cols[-2], 0
+            words, node = [c.view(np.uint64) for c in cols[2 : 3 if wide is None else 6]], cols[-2]
             for i, j in _bucket_links(group, cols[1], words, tau, wide):
                 if len(i):
                     differ = node[i] != node[j]
                     found_a.append(node[i][differ])
                     found_b.append(node[j][differ])
-                    got += len(i)
-            return got
+                    pending += len(i)
+                    if pending > PAIRS:
+                        shrink()
+                        pending = 0
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
             last = np.searchsorted(held[0], held[0][-1])  # the last key may go on in the next batch
             if last > 200_000 or (last and len(held[0]) > 400_000):
-                count += work([c[:last] for c in held])
-                held = [c[last:] for c in held]
-            if count > 1_000_000:
-                yield flush()
-                count = 0
+                work([c[:last] for c in held])
+                held = [c[last:].copy() for c in held]
+                if sum(map(len, found_a)) > PAIRS:
+                    yield flush()
+                    pending = 0
         if held and len(held[0]):
             work(held)
         if found_a:
