@@ -5,6 +5,8 @@ threshold from estimated candidate counts, with sum(threshold + 1) = tau + 1, so
 fingerprints within tau differ by at most the threshold in some partition. Fingerprints are dealt
 into buckets by partition value (a threshold t by balls of radius floor(t/2) and ceil(t/2)), and
 every bucket is verified in place; only a spanning forest of the verified links leaves a task.
+With wide fingerprints these links are candidates: what counts is the exact Jaccard similarity of the
+shingle sets. Groups with a link that fails it are searched again for all links between their parts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ BLOCK = 16384
 #: Cost of one dealt row against one comparison, as measured; it steers the plan, not the result.
 ROW_COST = 600.0
 SAMPLE, SIZING = 2000, 16
+#: Nodes whose texts are looked up by a broadcast of 16 bytes each; more of them are met by a shuffle.
+LOOKED_UP = 1_000_000
 #: Pairs that a task holds at once.
 PAIRS = 500_000
 
@@ -71,11 +75,12 @@ def _remix(h: np.ndarray, m: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, wide: bool = False) -> DataFrame:
-    """(doc_id, fp long[, w1, w2, w3 long]) for every row; null text counts as empty (fp 0).
+    """(doc_id, fp long[, w1, w2, w3, node, at long]) for every row; null text counts as empty (fp 0).
 
-    Fewer words than ``shingle``: the whole sequence is one shingle. Ids may be null or repeat.
+    ``node`` is a hash of the shingle set, ``at`` one of the text. Fewer words than ``shingle``: the
+    whole sequence is one shingle. Ids may be null or repeat.
     """
-    names = ["fp", "w1", "w2", "w3"] if wide else ["fp"]
+    names = ["fp", "w1", "w2", "w3", "node"] if wide else ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -85,12 +90,17 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 h = shingle_hashes(text.as_py() or b"", shingle)
                 if len(h):
                     out[i, 0] = majority(h)
-                    for j, m in enumerate(MIX[: len(names) - 1]):
+                    for j, m in enumerate(MIX if wide else ()):
                         out[i, j + 1] = majority(_remix(h, m))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(out[:, j]).view(np.int64)) for j in range(len(names)))], ["doc_id", *names])
+                if wide:
+                    out[i, 4] = xxhash.xxh64_intdigest(np.unique(h).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(out[:, j]).view(np.int64)) for j in range(len(names))), *batch.columns[2:]], ["doc_id", *names, *more])
 
+    more = ["at"] if wide else []
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    if wide:
+        rows = rows.withColumn("at", F.xxhash64("t"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names + more))
 
 
 def ball(width: int, radius: int) -> np.ndarray:
@@ -181,8 +191,36 @@ def _verified(words: np.ndarray, i: np.ndarray, j: np.ndarray, tau: int, wide: i
     return ok
 
 
-def _bucket_links(key: np.ndarray, side: np.ndarray, words: np.ndarray, tau: int, wide: int | None):
+def _spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of a spanning forest of the links a-b, nearest first."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = inv[: len(a)], inv[len(a) :]
+    order = np.argsort(d, kind="stable")
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.arange(len(a))
+    label, live, chosen = np.arange(len(nodes)), np.arange(len(a)), []
+    while True:
+        live = live[label[i[live]] != label[j[live]]]
+        if not len(live):
+            return np.concatenate(chosen) if chosen else live
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[i[live]], rank[live])
+        np.minimum.at(best, label[j[live]], rank[live])
+        own = order[np.unique(best[best < len(a)])]
+        chosen.append(own)
+        x, y = local_components(label[i[own]], label[j[own]])
+        onto = np.arange(len(nodes))
+        onto[x] = y
+        label = onto[label]
+
+
+def _distance(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+
+
+def _bucket_links(key: np.ndarray, side: np.ndarray, words: np.ndarray, tau: int, wide: int | None, part: np.ndarray | None = None):
     """Positions (i, j) of verified pairs in rows sorted by key; side 0: index, 1: probe only.
+    With ``part``: all pairs of different parts.
 
     At most about PAIRS pairs are in memory. Of a large bucket, only links that join what is still
     apart are verified and given: fewer than its rows, however many of them are near copies.
@@ -201,6 +239,8 @@ def _bucket_links(key: np.ndarray, side: np.ndarray, words: np.ndarray, tau: int
         i = np.repeat(rows, reps)
         j = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         keep = (i < j) | (side[j] == 1)
+        if part is not None:
+            keep &= part[i] != part[j]
         i, j = i[keep], j[keep]
         ok = _verified(words, i, j, tau, wide)
         yield i[ok], j[ok]
@@ -211,6 +251,13 @@ def _bucket_links(key: np.ndarray, side: np.ndarray, words: np.ndarray, tau: int
         for at in range(0, len(index), step):
             own = index[at : at + step]
             near = np.bitwise_count(fp[own][:, None] ^ fp[None, :]) <= tau
+            if part is not None:
+                near &= part[s + own][:, None] != part[None, s : s + n]
+                i, j = np.nonzero(near)
+                i, j = s + own[i], s + j
+                ok = _verified(words, i, j, tau, wide)
+                yield i[ok], j[ok]
+                continue
             if np.count_nonzero(near) > 4 * len(own):
                 near &= label[own][:, None] != label[None, :]
             i, j = np.nonzero(near)
@@ -219,20 +266,26 @@ def _bucket_links(key: np.ndarray, side: np.ndarray, words: np.ndarray, tau: int
             i, j = i[apart], j[apart]
             ok = _verified(words, s + i, s + j, tau, wide)
             if ok.any():
-                a, b = local_components(label[i[ok]], label[j[ok]])
+                i, j = i[ok], j[ok]
+                a, b = local_components(label[i], label[j])
+                if wide is None:
+                    yield s + a, s + b
+                else:
+                    own = _spanning(label[i], label[j], _distance(words, s + i, s + j))
+                    yield s + i[own], s + j[own]
                 onto = np.arange(n)
                 onto[a] = b
                 label = onto[label]
-                yield s + a, s + b
 
 
-def links(unique: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
+def links(unique: DataFrame, tau: int, wide: int | None = None, parts_only: bool = False) -> DataFrame:
     """A spanning forest (a, b) of the links between the rows of ``unique(fp)``, named by fp.
 
     ``wide``: the rows are (fp, w1, w2, w3, node), a pair must also differ in at most so many of all
-    256 bits, and links name the node.
+    256 bits, and links name the node. ``parts_only``: rows have a ``part`` too, and all links between
+    different parts are given.
     """
-    names = ["fp", "w1", "w2", "w3", "node"] if wide is not None else ["fp"]
+    names = (["fp", "w1", "w2", "w3", "node"] if wide is not None else ["fp"]) + ["part"] * parts_only
     n = unique.count()
     step = max(1, n // (4 * SAMPLE))
     sample = unique.where(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0).select("fp").limit(4 * SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -266,30 +319,43 @@ def links(unique: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held: list[np.ndarray] = []
-        found_a, found_b, pending = [], [], 0
+        found_a, found_b, found_d, pending = [], [], [], 0
 
         def shrink() -> int:
-            """What is found becomes star edges, fewer than the nodes it names."""
-            a, b = local_components(np.concatenate(found_a), np.concatenate(found_b))
+            """What is found becomes star edges, or a forest of wide links: fewer than the nodes it names."""
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            if parts_only:
+                a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            elif wide is None:
+                a, b = local_components(a, b)
+            else:
+                d = np.concatenate(found_d)
+                own = _spanning(a, b, d)
+                a, b, found_d[:] = a[own], b[own], [d[own]]
             found_a[:], found_b[:] = [a], [b]
             return len(a)
 
         def flush():
             shrink()
+            found_d.clear()
             return pa.RecordBatch.from_arrays([pa.array(found_a.pop()), pa.array(found_b.pop())], ["a", "b"])
 
-        def work(cols: list[np.ndarray]) -> None:
+        def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal pending
             group = cols[0] * 1 if not cols[-1].any() else np.cumsum(np.r_[0, (cols[0][1:] != cols[0][:-1]) | (cols[-1][1:] != cols[-1][:-1])])
-            words, node = [c.view(np.uint64) for c in cols[2 : 3 if wide is None else 6]], cols[-2]
-            for i, j in _bucket_links(group, cols[1], words, tau, wide):
+            words, node = [c.view(np.uint64) for c in cols[2 : 3 if wide is None else 6]], cols[2 if wide is None else 6]
+            for i, j in _bucket_links(group, cols[1], words, tau, wide, cols[7] if parts_only else None):
                 if len(i):
                     differ = node[i] != node[j]
-                    found_a.append(node[i][differ])
-                    found_b.append(node[j][differ])
+                    i, j = i[differ], j[differ]
+                    found_a.append(node[i])
+                    found_b.append(node[j])
+                    if wide is not None and not parts_only:
+                        found_d.append(_distance(words, i, j))
                     pending += len(i)
                     if pending > PAIRS:
-                        shrink()
+                        if shrink() > PAIRS // 2 and parts_only:
+                            yield flush()
                         pending = 0
 
         for batch in batches:
@@ -297,13 +363,13 @@ def links(unique: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
             held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
             last = np.searchsorted(held[0], held[0][-1])  # the last key may go on in the next batch
             if last > 200_000 or (last and len(held[0]) > 400_000):
-                work([c[:last] for c in held])
+                yield from work([c[:last] for c in held])
                 held = [c[last:].copy() for c in held]
                 if sum(map(len, found_a)) > PAIRS:
                     yield flush()
                     pending = 0
         if held and len(held[0]):
-            work(held)
+            yield from work(held)
         if found_a:
             yield flush()
 
@@ -311,28 +377,75 @@ def links(unique: DataFrame, tau: int, wide: int | None = None) -> DataFrame:
     per = sum(len(d[2]) for d in deals)
     parts = max(parts, -(-n * per // 2_000_000))
     ready = dealt.select("key", "side", *names, "block").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
-    return save(ready.mapInArrow(verify, "a long, b long").distinct())
+    return save(ready.mapInArrow(verify, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def comb_sum(width: int, radius: int) -> int:
     return sum(comb(width, r) for r in range(radius + 1))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 12, wide: int | None = 44) -> DataFrame:
+def similar(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, shingle: int, jaccard: float) -> DataFrame:
+    """(a, b, ok) for ``pairs(a, b)``: whether the shingle sets of the nodes have this Jaccard similarity.
+
+    nodes(node, at): the hash of a text of each node.
+    """
+    own = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
+    texts = df.select(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("t"), F.xxhash64(F.col(text_col).cast("binary")).alias("at"))
+    few = own.limit(LOOKED_UP + 1).count() <= LOOKED_UP
+    texts = texts.join(F.broadcast(own) if few else own, "at").groupBy("node").agg(F.first("t").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    sets = save(texts.mapInArrow(run, "node long, s array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return save(both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("n")).select("a", "b", (F.col("i") >= F.lit(jaccard) * (F.col("n") - F.col("i")) - 1e-9).alias("ok")))
+
+
+def exact_links(unique: DataFrame, df: DataFrame, text_col: str, shingle: int, tau: int, wide: int, jaccard: float) -> DataFrame:
+    """Links (a, b) of at least this exact similarity, enough to join all candidates that have it."""
+    nodes = save(unique.groupBy("node").agg(F.min("at").alias("at")))
+    met = similar(links(unique, tau, wide), nodes, df, text_col, shingle, jaccard)
+    good, bad = met.where("ok").select("a", "b"), met.where(~F.col("ok")).select("a", "b")
+    if not bad.limit(1).count():
+        return good
+    # A group all of whose candidate links hold is settled. The parts of the others may be linked by a
+    # pair that no forest has named: all pairs between different parts are verified.
+    def labels(edges: DataFrame, name: str) -> DataFrame:
+        c = components(edges)
+        return c.union(c.select("root", "root").distinct()).withColumnRenamed("root", name)
+
+    whole = save(labels(met.select("a", "b"), "whole"))
+    split = bad.join(whole.withColumnRenamed("node", "a"), "a").select("whole").distinct()
+    part = save(whole.join(split, "whole", "left_semi").join(labels(good, "part"), "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+    more = links(save(unique.join(part, "node")), tau, wide, True).join(bad, ["a", "b"], "left_anti")
+    return good.union(similar(save(more), nodes, df, text_col, shingle, jaccard).where("ok").select("a", "b"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 16, wide: int | None = 54, jaccard: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable.
 
-    With ``wide`` the fingerprint has 256 bits, the first 64 of which are searched within ``tau``;
-    44 of 256 bits is where shingle sets of similarity 0.8 are found four times in five, and of 0.85
-    nearly always. Empty texts have fingerprint 0 and link like any other. Null ids are kept, never
-    chosen as component_id while the group has another.
+    With ``wide`` the fingerprint has 256 bits, the first 64 of which are searched within ``tau``; the
+    pairs found that differ in at most ``wide`` of all bits are linked if the Jaccard similarity of
+    their shingle sets is ``jaccard`` or more. Texts of one shingle set are linked. Empty texts have
+    fingerprint 0. Null ids are kept, never chosen as component_id while the group has another.
     """
-    names = ["fp", "w1", "w2", "w3"] if wide is not None else ["fp"]
+    names = ["fp", "w1", "w2", "w3", "node"] if wide is not None else ["fp"]
     docs = save(fingerprints(df, id_col, text_col, shingle, wide is not None))
-    key = F.xxhash64(*names) if wide is not None else F.col("fp")
-    unique = save(docs.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", key))
-    moved = components(links(unique, tau, wide))
+    if wide is None:
+        unique = save(docs.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")))
+        docs = docs.withColumn("node", F.col("fp"))
+        moved, lows = components(links(unique, tau)), unique
+    else:
+        unique = save(docs.groupBy(*names).agg(F.min("doc_id").alias("low"), F.min("at").alias("at")))
+        moved, lows = components(exact_links(unique, df, text_col, shingle, tau, wide, jaccard)), unique.groupBy("node").agg(F.min("low").alias("low"))
     comp = save(moved.union(moved.select("root", "root").distinct()))
-    roots = unique.join(comp, "node").groupBy("root").agg(F.min("low").alias("component_id"))
+    roots = lows.join(comp, "node").groupBy("root").agg(F.min("low").alias("component_id"))
     moved = comp.join(roots, "root").select("node", "component_id")
-    label = save(unique.join(moved, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id")))
-    return docs.withColumn("node", key).join(label, "node").select("doc_id", "fp", "component_id")
+    label = save(lows.join(moved, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id")))
+    return docs.join(label, "node").select("doc_id", "fp", "component_id")

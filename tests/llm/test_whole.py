@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
-from quillet.llm import linededup
+import numpy as np
+
+from quillet.llm import linededup, simhash
 
 
 def test_line_dedup_finds_lines_on_a_few_hundredths_of_a_host(spark):
@@ -9,3 +11,26 @@ def test_line_dedup_finds_lines_on_a_few_hundredths_of_a_host(spark):
     got = {r["doc_id"]: r for r in linededup.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i]["n_dropped"] == (i < 200 and i % 25 == 0) for i in range(220))
     assert got[25]["text"] == "own line 25" and got[200]["text"] == "other 0\nshared twice"
+
+
+def test_near_duplicates_are_decided_by_exact_similarity(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for pair in range(24):
+        words = [f"w{x}" for x in rng.integers(0, 50000, 400)]
+        new = 37 if pair < 12 else 45  # similarity 0.812 and 0.780 of five-word shingles
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join([f"v{pair}x{i}" for i in range(new)] + words[new:]))]
+    # A chain: 100 and 102 are apart, 101 is near both; 103 is near neither of them but shares much with 100.
+    a = [f"c{x}" for x in rng.integers(0, 50000, 400)]
+    b = [f"d{i}" for i in range(30)] + a[30:]
+    c = b[:370] + [f"e{i}" for i in range(30)]
+    rows += [(100, " ".join(a)), (101, " ".join(b)), (102, " ".join(c)), (103, " ".join(a[:200] + [f"f{i}" for i in range(46)] + a[246:]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    want[i] = min(want[i], want[j])
+    assert got == want
