@@ -93,7 +93,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star contractions. Hubs are met only by aggregations with
     partial results and by joins against one row a node, and every round is a written table.
-    Nodes without links don't appear.
+    Nodes without links don't appear. Raises if ``max_rounds`` don't suffice.
     """
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -108,4 +108,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")

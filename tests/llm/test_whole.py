@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+import pytest
 
 from quillet.llm import linededup, simhash
+from quillet.llm._common import components
 
 
 def test_line_dedup_finds_lines_on_a_few_hundredths_of_a_host(spark):
@@ -34,3 +36,9 @@ def test_near_duplicates_are_decided_by_exact_similarity(spark):
                 if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     want[i] = min(want[i], want[j])
     assert got == want
+
+
+def test_components_never_gives_unsettled_labels(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(e, max_rounds=1)
