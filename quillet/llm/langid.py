@@ -15,30 +15,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold
+from ._common import fold, save
 
 #: Documents of each language that the model is fitted on (expected number), languages at most,
-#: words kept of each language, the longest n-gram.
+#: words, and n-grams of each order, kept of each language (from 9 languages on all have an equal share of
+#: 8 times as many), the longest n-gram.
 PER_LANG, LANGS, WORDS, GRAM = 1500, 200, 30_000, 5
 #: How much an unseen word counts against a known one.
 BACKOFF = 0.5
 STORE = 300_000
-#: Times that an n-gram is met at least; letters of an unseen word that are cut into n-grams: a longer
-#: run of letters without a break adds what its first such part adds.
-LEAST, LONG = 3, 200
+#: Times that an n-gram is met at least; an unseen run of letters is judged in slices of SLICE letters, and
+#: counts as a word for every LETTERS letters; longer runs than LONGEST are no entries of the word table.
+LEAST, SLICE, LETTERS, LONGEST = 3, 32, 10, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        """counts: (lang, word, count) of the sample."""
-        self.langs = sorted({lang for lang, _, _ in counts})
+    def __init__(self, counts: list[tuple[str, str, int]], grams: dict[int, list[tuple[str, str, int]]] | None = None):
+        """counts: (lang, word, count) of the sample; grams: (lang, n-gram, count) by order, by default
+        those of the words."""
+        self.langs = sorted({lang for part in (counts, *(grams or {}).values()) for lang, _, _ in part})
         at = {lang: i for i, lang in enumerate(self.langs)}
         n = max(1, len(self.langs))
         self.words, self.word_vectors = self._log([(w, at[lang], c) for lang, w, c in counts], n, 1)
         self.grams, self.gram_vectors = [{}], [np.zeros((0, n), np.float32)]
         for k in range(1, GRAM + 1):
-            table, vectors = self._log([(g, at[lang], c) for lang, w, c in counts for g in grams_of(w, k)], n, LEAST)
+            own = [(g, at[lang], c) for lang, w, c in counts for g in grams_of(w, k)] if grams is None else [(g, at[lang], c) for lang, g, c in grams.pop(k, [])]
+            table, vectors = self._log(own, n, LEAST)
             self.grams.append(table)
             self.gram_vectors.append(vectors)
 
@@ -59,16 +62,24 @@ class Model:
         i = self.words.get(word)
         if i is not None:
             return self.word_vectors[i]
-        for k in range(GRAM, 0, -1):
-            known = [i for g in grams_of(word[:LONG], k) if (i := self.grams[k].get(g)) is not None]
-            if known:
-                return BACKOFF * self.gram_vectors[k][known].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-
-def grams_of(word: str, k: int) -> list[str]:
+        total = np.zeros(len(self.langs))
+        for at in range(0, len(word), SLICE):
+            part = min(len(word) - at, SLICE)
+            for k in range(GRAM, 0, -1):
+                known = [i for g in grams_of(word, k, at) if (i := self.grams[k].get(g)) is not None]
+                if known:
+                    total += BACKOFF * max(part / LETTERS, part / len(word)) * self.gram_vectors[k][known].mean(axis=0)
+                    break
+        return total
+
+
+def grams_of(word: str, k: int, at: int | None = None) -> list[str]:
+    """The n-grams of ``word``, or those that begin in its slice from letter ``at`` on."""
     source = word if k == 1 else f"<{word}>"
-    return [source[i : i + k] for i in range(len(source) - k + 1)]
+    last = len(source) - k + 1
+    if at is not None and at + SLICE < len(word):
+        last = min(last, at + SLICE)
+    return [source[i : i + k] for i in range(at or 0, last)]
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -82,15 +93,58 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def out():
+            """Words, and n-grams of all of them, in parts."""
+            for k in range(GRAM + 1):
+                found: Counter = Counter()
+                for (lang, w), c in seen.items():
+                    if k:
+                        for g in grams_of(w, k):
+                            found[lang, g] += c
+                    elif len(w) <= LONGEST:
+                        found[lang, w] += c
+                items = list(found.items())
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x, _ in items], pa.string()), pa.array([k] * len(items), pa.int32()), pa.array([x[1] for x, _ in items], pa.string()), pa.array([c for _, c in items], pa.int64())], ["lang", "k", "s", "n"])
+            seen.clear()
+
+        letters = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.update((lang, w) for w in WORD.findall(text.as_py().lower()) if len(w) <= 64)
-        items = list(seen.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([c for _, c in items], pa.int64())], ["lang", "word", "n"])
-
-    got = rows.where(keep).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = got.where("n > 1").orderBy(F.desc("n"), "lang", "word").limit(WORDS * max(1, min(len(totals), 8)))
-    return Model([(r["lang"], r["word"], r["n"]) for r in best.collect()])
+                seen.update((lang, w) for w in WORD.findall(text.as_py().lower()))
+                letters += len(text.as_py())
+                if letters > 20_000_000:
+                    yield from out()
+                    letters = 0
+        yield from out()
+
+    got = rows.where(keep).select("lang", "text").mapInArrow(count, "lang string, k int, s string, n long")
+    by = got.groupBy("k", "s", "lang").agg(F.sum("n").alias("n")).groupBy("k", "s").agg(F.collect_list(F.struct("lang", "n")).alias("x"), F.sum("n").alias("t"))
+    # Words are met twice in a language, n-grams LEAST times in all.
+    every = by.where((F.col("k") == 0) | (F.col("t") >= LEAST)).select("k", "s", F.explode("x").alias("x")).select("k", "s", "x.lang", "x.n").where((F.col("k") > 0) | (F.col("n") > 1))
+    counts = save(every)
+    most = WORDS * 8 // max(len(totals), 8)
+    hist: dict = {}
+    for r in counts.groupBy("k", "lang", "n").agg(F.count("*").alias("c")).collect():
+        hist.setdefault((r["k"], r["lang"]), []).append((r["n"], r["c"]))
+    cut = []
+    for (k, lang), x in hist.items():
+        have = 0
+        for n, c in sorted(x, reverse=True):
+            if have + c > most:  # of those met equally often, a share chosen by a hash
+                cut.append((k, lang, n, int((most - have) / c * 1_000_000)))
+                break
+            have += c
+    chosen = counts
+    if cut:
+        limits = F.broadcast(docs.sparkSession.createDataFrame(cut, "k int, lang string, least long, share long"))
+        chosen = counts.join(limits, ["k", "lang"], "left").where(F.col("least").isNull() | (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("s"), F.lit(1_000_000)) < F.col("share"))))
+    read = {}
+    for k in range(GRAM + 1):
+        t = chosen.where(F.col("k") == k).select("lang", "s", "n").toPandas()
+        # In a fixed order: equal runs give equal sums.
+        read[k] = sorted(zip(t["lang"], t["s"], t["n"]))
+    return Model(read.pop(0), read)
 
 
 class Scorer:
@@ -99,7 +153,7 @@ class Scorer:
         self.clear()
 
     def clear(self):
-        self.row: dict[str, int] = {}
+        self.letters, self.row = 0, {}
         self.vectors = np.zeros((1024, max(1, len(self.m.langs))))
 
     def add(self, word: str) -> None:
@@ -107,12 +161,13 @@ class Scorer:
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
         self.vectors[len(self.row)] = self.m.vector(word)
         self.row[word] = len(self.row)
+        self.letters += len(word)
 
     def __call__(self, text: str) -> tuple[str, float]:
         if not self.m.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         words = WORD.findall(text.lower())
-        if len(self.row) > STORE:
+        if len(self.row) > STORE or self.letters > 30 * STORE:
             self.clear()
         for w in set(words).difference(self.row):
             self.add(w)

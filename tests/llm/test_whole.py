@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillet.llm import linededup, simhash
+from quillet.llm import langid, linededup, simhash
 from quillet.llm._common import components
 
 
@@ -42,3 +42,16 @@ def test_components_never_gives_unsettled_labels(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
         components(e, max_rounds=1)
+
+
+def test_language_of_runs_without_blanks(spark):
+    rng = np.random.default_rng(1)
+    letters = {"ja": "あいうえおかきくけこさしすせそ", "th": "กขคงจฉชซญดตถทนบ"}
+    run = lambda lang, n: "".join(rng.choice(list(letters[lang]), n))
+    rows = [(i, run(lang, 300), lang) for i in range(80) for lang in letters]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    scorer = langid.Scorer(m)
+    assert m.langs == ["ja", "th"] and not m.words and m.grams[2]
+    assert scorer(run("th", 250) + run("ja", 600))[0] == "ja" and scorer(run("ja", 250) + run("th", 600))[0] == "th"
+    # One long run outweighs two short ones.
+    assert scorer(run("ja", 300) + " " + run("th", 5) + " " + run("th", 5))[0] == "ja"
