@@ -55,3 +55,11 @@ def test_language_of_runs_without_blanks(spark):
     assert scorer(run("th", 250) + run("ja", 600))[0] == "ja" and scorer(run("ja", 250) + run("th", 600))[0] == "th"
     # One long run outweighs two short ones.
     assert scorer(run("ja", 300) + " " + run("th", 5) + " " + run("th", 5))[0] == "ja"
+
+
+def test_language_bound_leaves_rows_to_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WORDS", 20)
+    rows = [(i, " ".join(f"{w}{chr(97 + j % 26)}{chr(97 + j // 26)} " * (9 if w == "x" else 2) for j in range(60)), lang) for i in range(4) for lang, w in (("aa", "x"), ("bb", "q"))]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10**6)
+    for lang in "aa", "bb":
+        assert 5 <= sum(w.startswith({"aa": "x", "bb": "q"}[lang]) for w in m.words) <= 40
