@@ -12,19 +12,22 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import kept, save
-from .bpe import ODD_NUMBERS, WHITE
+from .bpe import ODD_NUMBERS, WHITE, byte_letters
 
 LENGTH, WINDOWS, LEAST_CUT, END = 4096, 32, 32, 2
-#: Chunks between blanks, and pretokens, that a worker keeps with their ids.
-STORE = 800_000
+#: Chunks between blanks, and pretokens, that a worker keeps with their ids, and their letters in all.
+STORE, STORE_LETTERS = 1_000_000, 16_000_000
 #: Leftover windows that are merged by one task.
 MERGE = 32
 #: The public pretoken pattern of the word-end vocabulary, for decimal digits (fixed values).
@@ -34,42 +37,83 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordEncoder:
-    """Ids of whole texts as the tokenizers library gives them; pretokens met before are kept."""
+    """Ids of whole texts as the tokenizers library gives them.
+
+    Texts are cut at blanks into chunks; the distinct ones of a batch are looked up in a store of chunks
+    met before, and their ids are gathered from one flat array. The store starts anew at STORE entries
+    or STORE_LETTERS letters, whichever is met first.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
         self.t.no_padding()
         self.t.no_truncation()
+        # The merges alone, for pretokens that are told here and kept here: without the library's own store.
+        self.merges = Tokenizer(self.t.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        if hasattr(self.merges.model, "_resize_cache"):
+            self.merges.model._resize_cache(0)
+        self.letter = {b: c for c, b in byte_letters().items() if b != 32}
         vocab = self.t.get_vocab()
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.last[i] = token.endswith("</w>")
-        self.store: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.end = np.array([END], "<u4").tobytes()
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.letters = self.used = 0
+        self.at = np.zeros(1 << 16, np.int64)  # where the ids of a row begin; those of the next end them
+        self.ids = np.zeros(1 << 18, np.uint32)
+
+    def add(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Rows for ``chunks``, whose ids end at ``ends`` in ``ids``."""
+        n, more = len(self.row), len(chunks)
+        while n + more + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.row.update(zip(chunks, range(n, n + more)))
+        self.at[n + 1 : n + more + 1] = self.used + ends
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.letters += sum(map(len, chunks))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``rows`` one after the other, and where each row's end."""
+        start = self.at[rows]
+        size = self.at[rows + 1] - start
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids of chunks: those of their pretokens, the unknown ones of which the library encodes many
-        in one call. Each pretoken ends in its one word-end id."""
-        if len(self.words) > STORE:
-            self.words = {}
-        cut = [QUICK.findall(c) for c in chunks]
-        words = list({w for own in cut for w in own}.difference(self.words))
-        for at in range(0, len(words), 2000):
-            own = words[at : at + 2000]
-            ids = np.array(self.t.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+        """Chunks of letters alone are one pretoken; others are cut into theirs. The library encodes many
+        unknown pretokens, written in the letters of bytes, in one call; each ends in its one word-end id."""
+        whole = list(map(str.isalpha, chunks))
+        mixed = list(compress(chunks, map(not_, whole)))
+        cut = list(map(QUICK.findall, mixed))
+        words = [*compress(chunks, whole), *{w for own in cut for w in own}.difference(self.row, compress(chunks, whole))]
+        for at in range(0, len(words), 4000):
+            own = words[at : at + 4000]
+            told = " ".join(own).encode().decode("latin-1").translate(self.letter)
+            ids = np.array(self.merges.encode_batch_fast([told], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(own):
-                raw, b = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.words.update(zip(own, (raw[x:y] for x, y in zip(b, b[1:]))))
-            else:
-                self.words.update((w, np.array(self.t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in own)
-        get = self.words.__getitem__
-        self.store.update((c, b"".join(map(get, own))) for c, own in zip(chunks, cut))
+            if len(ends) != len(own):
+                each = [self.t.encode(w, add_special_tokens=False).ids for w in own]
+                ids, ends = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
+            self.add(own, ids, ends)
+        several = [(c, own) for c, own in zip(mixed, cut) if c not in self.row]
+        if several:
+            ids, ends = self.gather(self.numbers([w for _, own in several for w in own]))
+            self.add([c for c, _ in several], ids, ends[np.cumsum([len(own) for _, own in several]) - 1])
 
     def plain(self, text: str) -> bool:
         """Whether the pretokens of ``text`` can be told here; else the library takes it whole. The four
@@ -79,23 +123,31 @@ class WordEncoder:
         return text.isascii() or "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text) and not ODD_NUMBERS.search(text)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        flat: list[str] = []
-        ends, whole = [], {}
+        whole, low = {}, []
         for i, t in enumerate(texts):
             if self.plain(t):
-                flat += t.lower().split()
+                low.append(t.lower())
             else:
+                low.append("")
                 whole[i] = np.array(self.t.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            ends.append(len(flat))
-        if len(self.store) > STORE:
-            self.store = {}
-        got = list(map(self.store.get, flat))
-        lost = [i for i, g in enumerate(got) if g is None]
-        if lost:
-            self.learn(list({flat[i] for i in lost}))
-            for i in lost:
-                got[i] = self.store[flat[i]]
-        return [whole.get(i, b"") or b"".join(got[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+        if len(self.row) > STORE or self.letters > STORE_LETTERS:
+            self.clear()
+        # Cut at ASCII blanks; a chunk that holds another blank is no single pretoken and is cut there later.
+        split = pc.ascii_split_whitespace(pa.array(low, pa.large_string()))
+        code = split.flatten().dictionary_encode()
+        chunks = code.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.row.get, chunks, repeat(-1)), np.int64, len(chunks))
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            lost = [chunks[i] for i in unknown.tolist()]
+            self.learn([c for c in lost if c])
+            number[unknown] = [self.row[c] if c else -1 for c in lost]
+        each = number[code.indices.to_numpy()]
+        size = np.where(each < 0, 0, self.at[each + 1] - self.at[each])
+        start = np.r_[0, np.cumsum(size)]
+        raw = self.ids[np.repeat(self.at[each] - start[:-1], size) + np.arange(start[-1])].astype("<u4").tobytes()
+        cuts = (4 * start[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        return [whole.get(i, b"") or raw[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 class Packer:
