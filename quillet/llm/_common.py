@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only if unset."""
+    """The folder that ``spark.checkpoint.dir`` names; one of our own if unset, with a local master alone."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     known = getattr(spark.sparkContext, "_quillet_dir", None)
     if known is None:
         known = "file://" + tempfile.mkdtemp(prefix="quillet-")
@@ -46,8 +53,14 @@ def kept(make, path: str):
 
 
 def release() -> None:
-    """Frees what earlier tasks of other operators kept in this worker."""
-    _kept.clear()
+    """Frees what earlier tasks of other operators kept in this worker, and hands it back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +72,16 @@ def fold(col, n: int):
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts in column ``at`` have about ``most`` bytes: one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy()) if batch.num_rows else np.zeros(0)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, those with the smallest hash of ``key``: the same rows on every run."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)

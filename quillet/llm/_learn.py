@@ -24,8 +24,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
         part = bounded_sample(known.where(F.col("y") == y), "doc_id", per_class)
         ids = part if ids is None else ids.union(part)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
-    out = rows.join(F.broadcast(ids), "doc_id").toPandas()  # at most 2 * per_class ids
-    out = out.sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
+    # At most 2 * per_class ids, each once, however often documents repeat it.
+    out = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).toPandas()
+    out = out.sort_values("doc_id", ignore_index=True)
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     y = out["y"].to_numpy()
     odds = np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)) - np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1))

@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import release
 
+#: Texts that are judged in one call.
+SLICE = 1000
 
-def keep_rows(df: DataFrame, make: Callable[[], Callable[[str | None], bool]], text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` whose text the function that ``make`` builds (once a task) accepts."""
+
+def keep_rows(df: DataFrame, model: Any, accept: Callable[[Any, list[str | None]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` whose texts ``accept(model, texts)`` finds true. The model is broadcast: of a bounded
+    size. Rows that repeat are judged alike; an empty table stays empty."""
     at = df.columns.index(text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        accept = make()
         for batch in batches:
-            yield batch.filter(pa.array([accept(t.as_py()) for t in batch.column(at)], pa.bool_()))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                yield part.filter(pa.array(accept(shared.value, part.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ._common import fold
 from ._learn import Logistic, labelled_texts
+from .filters import keep_rows
 
 #: Labelled rows of either class that the model is fitted on at most, and their longest text.
 PER_CLASS, LONGEST = 2000, 100_000
@@ -92,6 +93,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
     return model
 
 
+def keep(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` with all columns whose text is scored THRESHOLD or more; null text counts as empty."""
+    return keep_rows(df, model, lambda m, texts: m.scores([(t or "").encode() for t in texts]) >= THRESHOLD, text_col)
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; whole texts; null text counts as empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size

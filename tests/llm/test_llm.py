@@ -148,10 +148,41 @@ def test_op3_recall_and_odd_vectors(spark, data):
         n += 5
         assert np.allclose(g.sort_values("rank")["score"], s[[at[v] for v in g.sort_values("rank")["vec_id"]]])
     assert hit / n >= 0.9
-    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [1e200, 1e200]), (10, [3e-320, 0.0])], "vec_id long, embedding array<double>").withColumn("leaf", F.lit(1))
     got = ann.search(few, few.where("vec_id = 0")).orderBy("rank").collect()
-    assert [r["vec_id"] for r in got] == [1, 6]
-    assert ann.search(few.where("vec_id < 0"), few).count() == 0
+    assert [r["vec_id"] for r in got] == [1, 10, 6, 9] and got[1]["score"] == 1.0 and got[2]["score"] == got[3]["score"]
+    assert ann.search(few.where("vec_id < 0"), few).count() == 0 and ann.search(few, few.where("vec_id < 0")).count() == 0
+
+
+def test_op3_ties_and_repeated_ids(spark):
+    """Many copies of few vectors, one id many times: five different ids, the smallest of equal ones."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((4, 8))
+    rows = [(i, base[i % 4].tolist()) for i in range(600)] + [(7, base[3].tolist())] * 80 + [(600, base[0].tolist()), (600, (-base[0]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id in (0, 3, 7, 600)").distinct()).orderBy("query_id", "rank").collect()
+    found = {q: [r["vec_id"] for r in got if r["query_id"] == q] for q in (0, 3, 7, 600)}
+    assert found == {0: [4, 8, 12, 16, 20], 3: [7, 11, 15, 19, 23], 7: [3, 11, 15, 19, 23], 600: [0, 4, 8, 12, 16]}
+
+
+def test_op3_visits_few_leaves_of_clustered_vectors(spark):
+    """50,000 vectors in 500 clusters: recall against brute force with a few hundredths of the rows compared."""
+    rng = np.random.default_rng(1)
+    u = rng.standard_normal((500, 64))[rng.integers(0, 500, 50_000)] + 0.35 * rng.standard_normal((50_000, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    forest = ann.Forest(u[::3], len(u))
+    most = forest.budget(u[::3], 5, ann.RECALL)
+    assert forest.depth == 8 and most * len(u) / (1 << forest.depth) <= 0.06 * len(u)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(u)), "embedding": list(u)})).select(F.col("vec_id").cast("long"), "embedding")
+    got = ann.search(df, df.where("vec_id % 250 = 0")).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -2
+        hit += len(set(g["vec_id"]) & set(np.argsort(-s)[:5].tolist()))
+    assert hit / 1000 >= 0.9 and len(got) == 1000
 
 
 def test_op4_held_out_accuracy(spark, data, odd):
@@ -196,14 +227,52 @@ def test_op6_op8_held_out(spark, data, odd):
     assert min(some) >= 0.9
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
+    """Lists kept as matrix rows and lists in blocks, examples left out, queries of other terms."""
     rng = np.random.default_rng(1)
-    vectors = [{int(t): float(w) for t, w in zip(rng.choice(30, 4, replace=False), rng.random(4))} for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 30)
-    for v in vectors[:40]:
-        ids, sims = index.search(v, 7)
-        s = np.array([sum(w * x.get(t, 0.0) for t, w in v.items()) for x in vectors])
-        assert np.allclose(sims, np.sort(s)[::-1][:7]) and np.allclose(s[ids], sims)
+    x = np.where(rng.random((700, 60)) < np.r_[[0.4] * 6, [0.03] * 54], rng.random((700, 60)), 0)
+    example, term = np.nonzero(x)
+    for heavy in (12, 1, 10**6):
+        monkeypatch.setattr(toxicity, "HEAVY", heavy)
+        index = toxicity.BlockMaxIndex(example, term, x[example, term], 700, 60)
+        queries = [(np.flatnonzero(v), v[v > 0]) for v in x[:90]]
+        for i, (ids, sims) in enumerate(index.search(queries, 7, list(range(90)))):
+            s = x @ x[i]
+            s[i] = 0
+            assert np.allclose(sims, np.sort(s)[::-1][: len(sims)]) and np.allclose(s[ids], sims) and len(sims) == min(7, (s > 0).sum())
+
+
+def test_op8_neighbours_by_brute_force(spark, data, docs):
+    """Evidence of whole texts against cosines computed plainly over the full vocabulary."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{data}/documents.parquet"), labels)
+    got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, data).collect()}
+    cut = lambda t: toxicity.WORD.findall((t or "").lower())
+    known = {i: cut(docs[i]) for i in model.example_ids.tolist()}
+    df = collections.Counter(w for words in known.values() for w in set(words))
+    toxic = {i for i, y in zip(model.example_ids.tolist(), model.y) if y}
+    n, share, weight = len(known), len(toxic) / len(known), {}
+    for w, c in df.items():
+        if c >= 3:
+            a = sum(w in set(known[i]) for i in toxic)
+            chi2 = (a - c * share) ** 2 / (c * share * (1 - share) * max(1 - c / n, 1 / n))
+            weight[w] = (math.log((n + 1) / (c + 1)) + 1) * (1 + chi2 / 10.83)
+
+    def unit(words):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in collections.Counter(words).items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: unit(words) for i, words in known.items()}
+    assert set(weight) == set(model.index)
+    with_some = 0
+    for i, t in docs.items():
+        v = unit(cut(t))
+        want = sorted((sum(x * e.get(w, 0.0) for w, x in v.items()) for e in examples.values()), reverse=True)[: toxicity.NEIGHBOURS]
+        found = [e["cosine"] for e in got[i]["evidence"]]
+        with_some += len(found) > 0
+        assert np.allclose(found, [x for x in want if x > 0]) and {e["doc_id"] for e in got[i]["evidence"]} <= set(examples)
+    assert with_some >= 0.9 * sum(bool(cut(t)) for t in docs.values())
 
 
 def test_op7_pieces(spark, data, docs, odd):
@@ -242,6 +311,18 @@ def test_op9_visitors_lose_no_link(spark, monkeypatch):
     assert {i: got[i]["component_id"] for i in want} == want and all(got[i]["n_links"] == links[i] for i in want)
 
 
+def test_op9_repeated_ids_and_odd_vectors(spark):
+    x = [1.0, 0.0]
+    rows = [(1, x, 1), (1, x, 1), (2, [2.0, 0.0], 1), (3, [1e200, 0.0], 1), (4, [1.0], 1), (5, x, 2), (6, [0.0, 1.0], 1), (6, [0.01, 1.0], 1), (6, x, 3), (7, x, 3), (8, [1e-3, 1.0], 1), (None, x, 1), (9, [float("inf"), 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(0)).withColumn("unit", F.lit(0))
+    got = collections.defaultdict(set)
+    for r in embdedup.near_duplicates(df).collect():
+        got[r["vec_id"]].add((r["n_links"], r["component_id"], r["kept"]))
+    assert all(len(v) == 1 for v in got.values())
+    assert {i: next(iter(v))[:2] for i, v in got.items()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (3, 6), 7: (1, 6), 8: (2, 6), None: (0, None), 9: (0, 9)}
+    assert embdedup.near_duplicates(df.where("false")).count() == 0
+
+
 def test_op10_base_and_likelihood(spark, data, docs, odd):
     words = lambda t: [*(t or "").encode().lower().split(), None]
     c = collections.Counter(w for i, t in docs.items() if zlib.crc32(str(i).encode()) % 10 for w in words(t))
@@ -271,6 +352,62 @@ def test_exchange_never_loses_likelihood():
     assert gain(brown.exchange(n, 18, 4)) >= gain(brown.exchange(n, 18, 4, 0)) - 1e-9
 
 
+def test_op10_score_by_brute_force(spark, data, docs, monkeypatch):
+    """Classes of all head words, transitions, emissions and the tail, counted plainly; each word that isn't
+    exchanged is in the class of the best gain."""
+    monkeypatch.setattr(brown, "HEAD", 800)
+    monkeypatch.setattr(brown, "EXCHANGED", 6)
+    frame = spark.read.parquet(f"{data}/documents.parquet")
+    m, _, _ = brown.fit(frame)
+    words = {i: (t or "").encode().lower().split() for i, t in docs.items()}
+    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(x for w in train for x in w)
+    at, k = {w: i for i, w in enumerate(m.head)}, m.end - 1
+    assert len(m.cls) == len(m.head) + 1 and 100 < len(m.head) <= 800 and all(0 <= c < k for c in m.cls[:-1])
+    assert all(count[w] >= count[v] for w, v in zip(m.head, m.head[1:])) and k == max(1, round(len(m.head) ** 0.4))
+    codes = lambda w: [m.end, *(m.cls[at[x]] if x in at else k for x in w), m.end]
+    c = np.zeros((k + 2, k + 2))
+    for w in train:
+        own = codes(w)
+        for x, y in zip(own, own[1:]):
+            c[x, y] += 1
+    prior = (c.sum(axis=0) + 1) / (c.sum() + k + 2)
+    step = np.log10((c + brown.ALPHA * prior) / (c.sum(axis=1, keepdims=True) + brown.ALPHA))
+    in_class = collections.Counter()
+    for w, i in at.items():
+        in_class[m.cls[i]] += count[w]
+    tail = {w: n for w, n in count.items() if w not in at}
+    def emitted(x):
+        if x in at:
+            return count[x] / in_class[m.cls[at[x]]]
+        return (tail[x] - brown.DISCOUNT if x in tail else brown.DISCOUNT * len(tail) + 1) / (sum(tail.values()) + 1)
+
+    got = {r["doc_id"]: r["score"] for r in brown.score(frame).collect()}
+    for i, w in words.items():
+        own = codes(w)
+        want = sum(step[x, y] for x, y in zip(own, own[1:])) + sum(math.log10(emitted(x)) for x in w)
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_gain_is_that_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    k, size = 5, 8
+    c = rng.poisson(3.0, (size, size)).astype(float)
+    right, left, own = (rng.poisson(0.7, size).astype(float) for _ in range(3))
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    whole = lambda x: f(x) - f(x.sum(0)) - f(x.sum(1))
+    got = brown._gain(c, brown._f(c), k, right, left, own[0], c.sum(1)[:k], c.sum(0)[:k])
+
+    def joined(b):
+        x = c.copy()
+        x[b] += right
+        x[:, b] += left
+        x[b, b] += own[0]
+        return whole(x)
+
+    assert np.allclose(got - got[0], [joined(b) - joined(0) for b in range(k)])
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
