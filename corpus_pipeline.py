@@ -11,30 +11,17 @@ from pyspark.sql import functions as F
 
 from quillet.llm import linededup, packing, quality, simhash, toxicity
 from quillet.llm._common import save, table
-from quillet.llm.filters import keep_rows
 from quillet.llm.queries import tokenizer
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go; empty and null texts stay."""
-    shared = spark.sparkContext.broadcast(toxicity.fit(docs, table(spark, sf_dir, "labels")))
-
-    def make():
-        scorer = toxicity.Scorer(shared.value)
-        return lambda text: scorer(text or "")[0] < toxicity.THRESHOLD
-
-    return keep_rows(docs, make)
+    """Documents scored toxic go; null texts are scored as empty ones, repeated rows alike."""
+    return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold go."""
-    shared = spark.sparkContext.broadcast(quality.fit(docs, table(spark, sf_dir, "labels")))
-
-    def make():
-        model = shared.value
-        return lambda text: model.scores([(text or "").encode()])[0] >= quality.THRESHOLD
-
-    return keep_rows(docs, make)
+    """Documents scored below the threshold go; null texts are scored as empty ones, repeated rows alike."""
+    return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +41,8 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens; null texts are empty ones, repeated rows documents of
+    their own."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
@@ -71,6 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``, each on the written rows of the one before.
+    Empty tables give no rows; extra columns go along up to packing, which returns its own."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
