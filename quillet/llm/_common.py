@@ -114,17 +114,19 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as (node, root), root the smallest node.
 
-    Alternates the large-star and small-star contractions. Hubs are met only by aggregations with
-    partial results and by joins against one row a node, and every round is a written table.
+    Alternates the large-star and small-star contractions. Hubs are met by aggregations with partial
+    results, and by joins of written tables with one row a node: a small one is broadcast, as its size is
+    known, and of a large one adaptive plans can split the hubs' partitions. Every round is written.
     Nodes without links don't appear. Raises if ``max_rounds`` don't suffice.
     """
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = save(large)
+        low = save(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b").where("a <> b").distinct()
         e = save(small)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
