@@ -31,8 +31,8 @@ QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w{WHITE}
 #: Pretokens never cross from other characters into white space: what may be cut first.
 COARSE = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 ODD_NUMBERS = regex.compile(r"[\p{Nl}\p{No}]")
-#: Chunks, and pretokens, that a worker keeps with their ids; at the bound a store starts anew.
-STORE = 500_000
+#: Chunks, and pretokens, that a worker keeps with their ids, and the letters of both; at the bound it starts anew.
+STORE, STORE_LETTERS = 500_000, 16_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -179,6 +179,7 @@ class Encoder:
         self.v = Vocabulary(path)
         self.store: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.letters = 0
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in self.v.added.items()}
 
     def pretokens(self, text: str) -> list[str]:
@@ -188,13 +189,12 @@ class Encoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Ids of chunks from those of their pretokens."""
-        if len(self.words) > STORE:
-            self.words = {}
         cut = [self.pretokens(c) for c in chunks]
         words = list({w for own in cut for w in own}.difference(self.words))
         self.words.update(zip(words, encode_pretokens(self.v, words)))
         get = self.words.__getitem__
         self.store.update((c, b"".join(map(get, own))) for c, own in zip(chunks, cut))
+        self.letters += sum(map(len, chunks)) + sum(map(len, words))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; strings of added tokens in a text stand for those tokens."""
@@ -207,8 +207,8 @@ class Encoder:
             else:
                 flat += COARSE.findall(t)
             ends.append(len(flat))
-        if len(self.store) > STORE:
-            self.store = {}
+        if max(len(self.store), len(self.words)) > STORE or self.letters > STORE_LETTERS:
+            self.store, self.words, self.letters = {}, {}, 0
         got = list(map(self.store.get, flat))
         lost = [i for i, g in enumerate(got) if g is None]
         self.learn(list({flat[i] for i in lost if type(flat[i]) is str}))

@@ -39,8 +39,9 @@ def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text",
 def clean(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All rows and columns of ``df``, boilerplate lines taken out of the text.
 
-    Lines are compared trimmed of blanks; blank lines stay. Null host: one host of its own; null text
-    stays null. A page all of whose lines are boilerplate stays whole. Adds ``n_dropped`` (long).
+    Lines are compared trimmed of blanks; blank lines stay. A null host counts as the empty one; null text
+    stays null; repeated rows count as one page and are all cleaned. A page all of whose lines are
+    boilerplate stays whole. Adds ``n_dropped`` (long), in place of a column of that name.
     """
     bad = boilerplate(df, host_col, text_col, ratio, min_pages)
     # One row a host: its boilerplate lines are at most 1 / ratio times the lines of a mean page. Written,

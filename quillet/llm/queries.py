@@ -18,52 +18,63 @@ def tokenizer(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles linked within 3 of 64 bits; null and empty texts have fingerprint 0."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, tau=3, wide=None)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts and of what they decode to, as digests; null text counts as empty, rows may repeat."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found for every fiftieth id; unusable vectors take no part."""
     rows = table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole texts; null texts and texts without a letter are ``und``."""
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each document are boilerplate of its source, and what is left."""
     out = linededup.clean(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_dropped", F.md5("text").alias("text_md5"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of whole texts; empty and null ones are scored too, repeated rows alike."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens; null text is empty, repeated rows are documents of their own."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole texts with the nearest examples; empty and null ones are scored too."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 within a label and their components; unusable vectors link with nothing."""
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of whole texts; null text counts as empty, whose one token is its end."""
     return brown.score(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

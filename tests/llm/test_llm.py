@@ -194,6 +194,69 @@ def test_op4_held_out_accuracy(spark, data, odd):
     assert langid.identify(odd, langid.fit(docs.where("false"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_op4_scores_by_brute_force(spark):
+    """Known words by log frequency, unseen ones by their longest known n-grams, in slices of long runs."""
+    counts = [("de", "haus", 30), ("de", "baum", 20), ("de", "der", 90), ("en", "house", 25), ("en", "tree", 22), ("en", "the", 95), ("en", "der", 1), ("fr", "maison", 9), ("fr", "arbre", 8)]
+    m = langid.Model(counts)
+    langs = ["de", "en", "fr"]
+
+    def table(k):
+        t = collections.defaultdict(lambda: collections.Counter())
+        for lang, w, c in counts:
+            source = w if k <= 1 else f"<{w}>"
+            for g in [w] if k == 0 else [source[i : i + k] for i in range(len(source) - k + 1)]:
+                t[g][lang] += c
+        total = {x: sum(v[x] for v in t.values()) for x in langs}
+        return {g: [math.log((v[x] + 0.5) / (total[x] + 1)) for x in langs] for g, v in t.items() if k == 0 or sum(v.values()) >= 3}
+
+    tables = [table(k) for k in range(6)]
+
+    def plain(text):
+        s = np.zeros(3)
+        for w in text.split():
+            if w in tables[0]:
+                s += tables[0][w]
+                continue
+            for at in range(0, len(w), 32):
+                for k in range(5, 0, -1):
+                    source = w if k == 1 else f"<{w}>"
+                    last = len(source) - k + 1
+                    known = [tables[k][source[i : i + k]] for i in range(at, min(last, at + 32) if at + 32 < len(w) else last) if source[i : i + k] in tables[k]]
+                    if known:
+                        part = min(32, len(w) - at)
+                        s += 0.5 * max(part / 10, part / len(w)) * np.mean(known, axis=0)
+                        break
+        p = np.exp(s - s.max())
+        return langs[int(np.argmax(s))], p.max() / p.sum()
+
+    score = langid.Scorer(m)
+    for text in ("der baum", "the tree house", "hausbaum", "arbres maisons", "treehouses", "x", "haus" * 40 + "house" * 10, "maison" * 9 + " the"):
+        lang, p = plain(text)
+        got = score(text)
+        assert got[0] == lang and math.isclose(got[1], p, rel_tol=1e-4)
+
+
+def test_op6_scores_by_brute_force(spark, data, docs):
+    """Sizes by a fresh compressor for each block, features and the logistic function written out."""
+    import zstandard
+
+    model = quality.fit(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries.op6_quality(spark, data).collect()}
+
+    def size(text, d):
+        more = {"dict_data": zstandard.ZstdCompressionDict(d)} if d else {}
+        return sum(len(zstandard.ZstdCompressor(level=1, write_content_size=False, write_dict_id=False, **more).compress(text[i : i + 4096])) for i in range(0, len(text), 4096))
+
+    for i, t in list(docs.items())[::4]:
+        raw = (t or "").encode()
+        g, b = (size(raw, d) for d in model.dicts)
+        d, ratio, n = (b - g) / (b + g + 100), (g + b + 100) / (2 * len(raw) + 200), math.log1p(len(raw))
+        x = [d, d * n, (b - g) / math.sqrt(b + g + 100), ratio, math.log(ratio), ratio * n, n] if raw else [0.0] * 7
+        c = model.calibrated
+        z = c.w[0] + sum((v - m) / s * w for v, m, s, w in zip(x, c.mean, c.std, c.w[1:]))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+
+
 def test_op5_and_op9_against_sql(spark, data):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -418,3 +481,31 @@ def test_pipeline_stages(spark, data):
         assert out.columns == docs.columns and out.count() <= before
         assert stage(spark, docs.where("false"), data).count() == 0, name
     assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() > 0.3 * before
+
+
+def test_pipeline_stages_on_odd_rows(spark, data, odd):
+    """Nulls, empties, repeats, a long text and clashing names: rows stay rows, and repeated ones are treated alike."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, data)
+        rows = out.collect()
+        if name == "packing":
+            assert sorted({r["doc_id"] for r in rows}, key=str) == sorted({r[0] for r in ODD}, key=str)
+            continue
+        assert out.columns == odd.columns and len(rows) <= len(ODD), name
+        kept = collections.Counter(r["doc_id"] for r in rows)
+        assert kept[2] in (0, 2) or name == "simhash" and kept[2] == 0
+        if name == "simhash":
+            assert kept == {1: 1, 3: 1, 6: 1, 7: 1, None: 1}
+    chars = {r["doc_id"]: r for r in corpus_pipeline.stage_line_dedup(spark, spark.createDataFrame([(i, f"header\nbody {i}", "en", "h", 99) for i in range(9)], SCHEMA), data).collect()}
+    assert chars[4]["text"] == "body 4" and chars[4]["n_chars"] == 6
+
+
+def test_empty_tables(spark, data, odd):
+    none = odd.where("false")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    assert bpe.digests(none, queries.tokenizer("byte_bpe_50k.json")).count() == 0 and simhash.near_duplicates(none).count() == 0
+    assert langid.identify(none, langid.fit(none)).count() == 0
+    for module in (quality, toxicity):
+        assert module.score(none, module.fit(none, labels)).count() == 0 and module.keep(none, module.fit(none, labels)).count() == 0
