@@ -277,7 +277,7 @@ _DICT = "(SELECT lower(trim(p_name)) AS phrase, count(*) AS freq FROM part GROUP
 
 
 @register(
-    f"""WITH m AS (SELECT query, phrase, CAST(levenshtein(query, phrase) AS INTEGER) AS distance, freq FROM {typed_sql()} q, {_DICT} d WHERE levenshtein(query, phrase) <= {_BUDGET})
+    f"""WITH m AS (SELECT query, phrase, CAST(damerau_levenshtein(query, phrase) AS INTEGER) AS distance, freq FROM {typed_sql()} q, {_DICT} d WHERE damerau_levenshtein(query, phrase) <= {_BUDGET})
     SELECT query, phrase, distance, freq FROM m QUALIFY distance = min(distance) OVER (PARTITION BY query)"""
 )
 def levenshtein_phrase_match(spark, d):
@@ -343,8 +343,9 @@ def candidate_rank_dedupe(spark, d):
     SELECT query, word, round(max(weight), 3) AS weight FROM c GROUP BY ALL HAVING round(max(weight), 3) >= 0.3"""
 )
 def word_bag_weights(spark, d):
-    w = F.col("p_retailprice") / F.max("p_retailprice").over(Window.partitionBy("p_brand"))
-    c = read(spark, d, "part").select(F.col("p_brand").alias("query"), "p_name", w.alias("weight")).select("query", F.explode(F.split("p_name", " ")).alias("word"), "weight")
+    part = read(spark, d, "part")
+    top = part.groupBy("p_brand").agg(F.max("p_retailprice").alias("top"))
+    c = part.join(top, "p_brand").select(F.col("p_brand").alias("query"), F.explode(F.split("p_name", " ")).alias("word"), (F.col("p_retailprice") / F.col("top")).alias("weight"))
     return c.groupBy("query", "word").agg(F.round(F.max("weight"), 3).alias("weight")).where("weight >= 0.3")
 
 
@@ -498,6 +499,9 @@ def resumable_stream(spark, d):
     return spark.read.schema(EVENTS).parquet(f"{base}/out").select("event_id", "event_type", "value")
 
 
+from . import catalogue_shapes  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

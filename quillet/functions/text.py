@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that stay although they are short or common (fixed values).
 FUNCTION_WORDS = [
@@ -43,20 +45,39 @@ def for_match(x: Column) -> Column:
     return fold_accents(F.lower(x))
 
 
+#: White space that trimming takes away: Unicode's, and the four separators (fixed values).
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: l and l with a stop, hyphen or dot between letters (fixed pattern).
+DOUBLE_L = r"(?<=[a-zà-ú])l[.\-]l(?=[a-zà-ú])"
+
+
+@F.pandas_udf(StringType())
+def composed(x: pd.Series) -> pd.Series:
+    """Canonical composition, which Spark has no function for: an Arrow step, made once at ingestion."""
+    return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def strip(x: Column) -> Column:
+    return F.regexp_replace(x, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
 def normalize(x: Column) -> Column:
     """Lower case, trimmed, one apostrophe, l·l between letters, three or more equal characters to two.
 
-    Texts are taken to be in composed form, which ingestion ensures.
+    Texts are taken to be in composed form: ``sources.readers.ingested`` brings them there.
     """
-    x = F.translate(F.trim(F.lower(x)), "’‘´", "'''")
-    x = F.regexp_replace(x, r"(?<=[a-zà-ú])l[.\-]l(?=[a-zà-ú])", "l·l")
-    return F.regexp_replace(x, r"(?s)(.)\1{2,}", "$1$1")
+    x = F.translate(strip(F.lower(x)), "’‘´", "'''")
+    x = F.regexp_replace(x, DOUBLE_L, "l·l")
+    return F.regexp_replace(x, r"([^\n])\1{2,}", "$1$1")
+
+
+#: An elided article, and words with inner dots (fixed patterns).
+ELIDED, TOKEN = r"(?i)([ldsmtn])'", r"(?iu)[a-zàèéíòóúïüç]+(?:·[a-zàèéíòóúïüç]+)*"
 
 
 def tokens(x: Column, keep_short: bool = True) -> Column:
     """Words after splitting off elided articles; single letters only if they are function words."""
-    spaced = F.regexp_replace(x, r"(?i)([ldsmtn])'", "$1 ")
-    words = F.regexp_extract_all(spaced, F.lit(r"(?iu)[a-zàèéíòóúïüç]+(?:·[a-zàèéíòóúïüç]+)*"), F.lit(0))
+    words = F.regexp_extract_all(F.regexp_replace(x, ELIDED, "$1 "), F.lit(TOKEN), F.lit(0))
     short = F.array(*(F.lit(w) for w in FUNCTION_WORDS))
     return F.filter(words, lambda w: (F.length(w) >= 2) | F.array_contains(short, w)) if keep_short else F.filter(words, lambda w: F.length(w) >= 2)
 
@@ -87,11 +108,9 @@ def candidate_score(tier: Column, distance: Column, freq: Column) -> Column:
 
 
 def matches_any(x: Column, terms: list[str]) -> Column:
-    """Whether the folded text contains any folded term."""
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(for_match(x), for_match(F.lit(t)))
-    return F.coalesce(out, F.lit(False))
+    """Whether the folded text contains any folded term: folded once, met by one call a term."""
+    folded = F.transform(F.array(for_match(x)), lambda t: F.exists(F.array(*(for_match(F.lit(w)) for w in terms)), lambda w: F.contains(t, w))) if terms else F.array(F.lit(False))
+    return F.coalesce(F.get(folded, F.lit(0)), F.lit(False))
 
 
 #: Where an 11-letter id stands in the addresses of the video site (fixed patterns).

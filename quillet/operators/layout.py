@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import written
+
 
 def mds(x: np.ndarray, dims: int = 2, rounds: int = 300) -> np.ndarray:
     """Metric scaling of cosine distances: the classical solution, then SMACOF steps."""
@@ -127,17 +129,46 @@ def grid_cells(points: DataFrame, padding: int = 2) -> DataFrame:
 
 
 def spiral_free(cells: pd.DataFrame) -> pd.DataFrame:
-    """Cells in the order of id, each moved outwards ring by ring to the first free one."""
+    """Cells in the order of id, each moved outwards ring by ring to the first free one within the grid; where
+    none is free it stays. ``cells(id, gx, gy[, g])``: g is the grid's side."""
+    side = int(cells["g"].iloc[0]) if "g" in cells and len(cells) else 1 << 30
     taken: set[tuple[int, int]] = set()
     out = []
     for r in cells.sort_values("id").itertuples():
-        ring, spot = 0, None
-        while spot is None:
-            for dx in range(-ring, ring + 1):
-                for dy in range(-ring, ring + 1):
-                    if max(abs(dx), abs(dy)) == ring and (r.gx + dx, r.gy + dy) not in taken:
-                        spot = spot or (r.gx + dx, r.gy + dy)
-            ring += 1
+        spot = (r.gx, r.gy)
+        rings = ((r.gx + dx, r.gy + dy) for ring in range(1, side) for dx in range(-ring, ring + 1) for dy in range(-ring, ring + 1) if max(abs(dx), abs(dy)) == ring)
+        if spot in taken:
+            spot = next(((x, y) for x, y in rings if 0 <= x < side and 0 <= y < side and (x, y) not in taken), spot)
         taken.add(spot)
         out.append((r.id, *spot))
     return pd.DataFrame(out, columns=["id", "gx", "gy"])
+
+
+def snap_to_grid(points: DataFrame) -> DataFrame:
+    """(id, gx, gy): one cell for each point of a page, collisions solved in order of id. One task, as each
+    place depends on all before: meant for what a screen shows."""
+    return grid_cells(points).groupBy().applyInPandas(spiral_free, "id long, gx int, gy int")
+
+
+def neighbourhood_layout(rows: DataFrame, focal: int, id_col: str, vec_col: str, previous: DataFrame | None = None) -> DataFrame:
+    """(id, x, y) of one neighbourhood: scaled from cosine distances, centred on its focal row, divided by the
+    75th percentile of distances, turned to fit ``previous(id, px, py)`` and snapped to it."""
+    flat = project(rows.withColumn("quillet_set", F.lit("")), "quillet_set", id_col, vec_col).select("id", "x", "y")
+    out = centre_and_scale(written(flat), focal)
+    return rotate_and_snap(out, previous, focal) if previous is not None else out
+
+
+class Projections:
+    """Layouts of whole catalogues, kept as written tables by version, number of dimensions and method."""
+
+    def __init__(self) -> None:
+        self.kept: dict[tuple[str, int, str], DataFrame] = {}
+
+    def get(self, rows: DataFrame, version: str, dims: int = 2, method: str = "tsne", id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+        if (version, dims, method) not in self.kept:
+            p = project(rows.withColumn("quillet_set", F.lit("")), "quillet_set", id_col, vec_col, method, dims)
+            self.kept[version, dims, method] = written(p.drop("key"))
+        return self.kept[version, dims, method]
+
+    def invalidate(self) -> None:
+        self.kept.clear()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import written
+from .quantiles import edges
+
 
 def usable(df: DataFrame, x: str, w: str) -> DataFrame:
     return df.where(F.col(x).isNotNull() & (F.col(w) > 0)).select(F.col(x).cast("double").alias("x"), F.col(w).cast("double").alias("w"))
@@ -15,13 +18,16 @@ def weighted_mean(df: DataFrame, x: str, w: str, by: str) -> DataFrame:
 
 
 def cumulative(df: DataFrame, x: str, w: str, buckets: int = 256) -> DataFrame:
-    """(x, w, cum, total) of each different x in order. Prefix sums in two levels: within ranges of x
-    in parallel, then the sums of at most ``buckets`` ranges."""
-    d = usable(df, x, w).groupBy("x").agg(F.sum("w").alias("w"))
-    ends = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("total"))
-    d = d.crossJoin(F.broadcast(ends)).withColumn("b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (buckets - 1))).otherwise(0).cast("int"))
+    """(x, w, cum, total) of each different x in order. Prefix sums in two levels: within ranges of x in
+    parallel, then the sums of at most ``buckets`` ranges. Ranges end at quantiles of x, so that a heavy
+    tail fills no range more than others."""
+    d = written(usable(df, x, w).groupBy("x").agg(F.sum("w").alias("w")))
+    cuts = edges(d, "x", buckets)
+    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    d = d.withColumn("b", bucket)
     sums = d.groupBy("b").agg(F.sum("w").alias("s"))
-    before = sums.alias("l").join(F.broadcast(sums.alias("r")), F.col("r.b") < F.col("l.b"), "left").groupBy("l.b").agg(F.coalesce(F.sum("r.s"), F.lit(0.0)).alias("before"))
+    total = F.sum("s").over(Window.partitionBy())
+    before = sums.select("b", (F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"), total.alias("total"))
     inner = F.sum("w").over(Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     return d.join(F.broadcast(before), "b").select("x", "w", (F.col("before") + inner).alias("cum"), "total")
 

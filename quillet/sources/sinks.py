@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import exists
+
 
 def csv(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").csv(path, header=True)
 
 
+def csv_append(df: DataFrame, path: str) -> None:
+    """Appends to a folder of CSV parts without headers; the header is one file, written with the first rows.
+    Read back by ``csv_appended``."""
+    spark = df.sparkSession
+    if not exists(spark, f"{path}/_header"):
+        spark.createDataFrame([(",".join(df.columns),)], "value string").coalesce(1).write.text(f"{path}/_header")
+    df.write.mode("append").csv(f"{path}/rows")
+
+
+def csv_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(f"{path}/rows")
+
+
+def rewritten(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], form: str = "json") -> None:
+    """Replaces a table by what ``change`` makes of it: written beside it, then swapped, as Spark can't write
+    over what it reads."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source = spark.read.format(form).load(path)
+    change(source).write.mode("overwrite").format(form).save(f"{path}.next")
+    old, new = fs_path(path), fs_path(f"{path}.next")
+    fs = old.getFileSystem(conf)
+    fs.rename(old, fs_path(f"{path}.last"))
+    fs.rename(new, old)
+    fs.delete(fs_path(f"{path}.last"), True)
+
+
 def parquet(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
