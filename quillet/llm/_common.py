@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,20 +46,48 @@ def kept(make, path: str):
     """What ``make`` builds of ``path``, kept for later tasks of this worker. A worker keeps one such
     object: it goes when a task asks for another, or releases it."""
     if (make, path) not in _kept:
-        _kept.clear()
+        release()
         _kept[make, path] = make(path)
     return _kept[make, path]
 
 
 def release() -> None:
-    """Frees what earlier tasks of other operators kept in this worker, and hands it back to the system."""
-    if _kept:
-        _kept.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+    """Frees what earlier tasks of other operators kept in this worker."""
+    _kept.clear()
+    tidy()
+
+
+def tidy() -> None:
+    """Hands memory that is free in this worker back to the system: idle workers and the next stage's share an
+    executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run):
+    """``run`` for ``mapInArrow``, after which the worker's free memory goes back to the system."""
+
+    def out(batches):
+        yield from run(batches)
+        tidy()
+
+    return out
+
+
+#: Rows that go to a worker at a time where rows are whole texts, unless the session says otherwise.
+ROWS, DEFAULT_ROWS = 2000, "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from here on its session sends ROWS rows at a time to Python, if it has Spark's default: 10,000
+    long texts are held several times over on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, DEFAULT_ROWS) == DEFAULT_ROWS:
+        conf.set(key, str(ROWS))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept
+from ._common import kept, small_batches, tidied
 
 NONE = np.int64(1) << 60
 #: White space of the Unicode standard, as the pretoken pattern understands it (fixed values).
@@ -246,7 +246,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 got = e.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([np.frombuffer(g, "<u4").astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([e.decode(g) for g in got])], ["doc_id", "ids", "decoded"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,4 +267,4 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidied(run), schema)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import release
+from ._common import release, small_batches, tidied
 
 #: Texts that are judged in one call.
 SLICE = 1000
@@ -28,4 +28,4 @@ def keep_rows(df: DataFrame, model: Any, accept: Callable[[Any, list[str | None]
                 part = batch.slice(lo, SLICE)
                 yield part.filter(pa.array(accept(shared.value, part.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(tidied(run), df.schema)

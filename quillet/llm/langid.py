@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold, save
+from ._common import fold, save, small_batches, tidied
 
 #: Documents of each language that the model is fitted on (expected number), languages at most,
 #: words, and n-grams of each order, kept of each language (from 9 languages on all have an equal share of
@@ -191,4 +191,4 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")

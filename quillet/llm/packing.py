@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, save
+from ._common import kept, save, small_batches, tidied
 from .bpe import ODD_NUMBERS, WHITE, byte_letters
 
 LENGTH, WINDOWS, LEAST_CUT, END = 4096, 32, 32, 2
 #: Chunks between blanks, and pretokens, that a worker keeps with their ids, and their letters in all.
-STORE, STORE_LETTERS = 1_000_000, 16_000_000
+STORE, STORE_LETTERS = 500_000, 8_000_000
 #: Leftover windows that are merged by one task.
 MERGE = 32
 #: The public pretoken pattern of the word-end vocabulary, for decimal digits (fixed values).
@@ -240,7 +240,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
         packer.merge()
         yield packer.take()
 
-    packed = save(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, SCHEMA))
+    packed = save(small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidied(run), SCHEMA))
     out = packed.where("ids is null").drop("ids")
     left = packed.where("ids is not null").withColumn("unit", F.expr("shiftright(sequence_id, 32)"))
     level = 0
@@ -271,7 +271,7 @@ def _merger(level: int, last: bool):
     return run
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000):
+def _slices(batch: pa.RecordBatch, most: int = 2_000_000):
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
         t = t.as_py() or ""

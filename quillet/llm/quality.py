@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold
+from ._common import fold, small_batches, tidied
 from ._learn import Logistic, labelled_texts
 from .filters import keep_rows
 
@@ -109,4 +109,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(rows).mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -6,7 +6,7 @@ fingerprints within tau differ by at most the threshold in some partition. Finge
 into buckets by partition value (a threshold t by balls of radius floor(t/2) and ceil(t/2)), and
 every bucket is verified in place; only a spanning forest of the verified links leaves a task.
 With wide fingerprints these links are candidates: what counts is the exact Jaccard similarity of the
-shingle sets. Groups with a link that fails it are searched again for all links between their parts.
+shingle sets. Groups with a link that fails it are compared in place for links between their parts.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, local_components, release, save
+from ._common import components, local_components, release, save, small_batches, tidied
 
 BITS = 64
 #: Fingerprints compared as one block; larger buckets are split into pairs of blocks.
@@ -31,8 +32,8 @@ ROW_COST = 600.0
 SAMPLE, SIZING = 2000, 16
 #: Nodes whose texts are looked up by a broadcast of 16 bytes each; more of them are met by a shuffle.
 LOOKED_UP = 1_000_000
-#: Pairs that a task holds at once.
-PAIRS = 500_000
+#: Pairs that a task holds at once; rows of a group that are compared as one block.
+PAIRS, GROUP_BLOCK = 500_000, 2048
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -100,7 +101,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     if wide:
         rows = rows.withColumn("at", F.xxhash64("t"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names + more))
+    return small_batches(rows).mapInArrow(tidied(run), "doc_id long, " + ", ".join(f"{n} long" for n in names + more))
 
 
 def ball(width: int, radius: int) -> np.ndarray:
@@ -377,19 +378,15 @@ def links(unique: DataFrame, tau: int, wide: int | None = None, parts_only: bool
     per = sum(len(d[2]) for d in deals)
     parts = max(parts, -(-n * per // 2_000_000))
     ready = dealt.select("key", "side", *names, "block").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
-    return save(ready.mapInArrow(verify, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return save(ready.mapInArrow(tidied(verify), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def comb_sum(width: int, radius: int) -> int:
     return sum(comb(width, r) for r in range(radius + 1))
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, shingle: int, jaccard: float) -> DataFrame:
-    """(a, b, ok) for ``pairs(a, b)``: whether the shingle sets of the nodes have this Jaccard similarity.
-
-    nodes(node, at): the hash of a text of each node.
-    """
-    own = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
+def shingle_sets(own: DataFrame, df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, s): the sorted shingle hashes of own(node, at), at the hash of a text of each node."""
     texts = df.select(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("t"), F.xxhash64(F.col(text_col).cast("binary")).alias("at"))
     few = own.limit(LOOKED_UP + 1).count() <= LOOKED_UP
     texts = texts.join(F.broadcast(own) if few else own, "at").groupBy("node").agg(F.first("t").alias("t"))
@@ -401,12 +398,64 @@ def similar(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, sh
                 sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    sets = save(texts.mapInArrow(run, "node long, s array<long>"))
+    return save(texts.mapInArrow(tidied(run), "node long, s array<long>"))
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text_col: str, shingle: int, jaccard: float) -> DataFrame:
+    """(a, b, ok) for ``pairs(a, b)``: whether the shingle sets of the nodes have this Jaccard similarity."""
+    own = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
+    sets = shingle_sets(own, df, text_col, shingle)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return save(both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("n")).select("a", "b", (F.col("i") >= F.lit(jaccard) * (F.col("n") - F.col("i")) - 1e-9).alias("ok")))
 
 
+def links_in_groups(rows: DataFrame, tau: int, wide: int, jaccard: float) -> DataFrame:
+    """Links (a, b) of at least this exact similarity between different parts of one group, enough to join all
+    parts that have some. rows(whole, part, fp, w1, w2, w3, node, s).
+
+    Groups are compared in pairs of blocks of GROUP_BLOCK rows, in place: candidates by their bits, of those
+    still apart the shingle sets. Only star edges of what is found leave a task: fewer than its rows.
+    """
+    sizes = rows.groupBy("whole").count().select("whole", F.ceil(F.col("count") / GROUP_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(own, y).alias("x"), F.greatest(own, y).alias("y")))
+    dealt = rows.join(sizes, "whole").withColumn("own", own).withColumn("pair", F.explode(pairs))
+
+    def compare(key, t):
+        t = t.combine_chunks()
+        cols = {c: t.column(c).to_numpy() for c in ("fp", "w1", "w2", "w3", "node", "part", "own")}
+        words = [cols[c].view(np.uint64) for c in ("fp", "w1", "w2", "w3")]
+        lists = t.column("s").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pa.compute.list_value_length(lists).to_numpy())]
+        size = np.diff(ends)
+        label = np.unique(cols["part"], return_inverse=True)[1]
+        across = key[1].as_py() != key[2].as_py()
+        found_a, found_b = [], []
+        for i in range(len(label) - 1):
+            near = np.flatnonzero((np.bitwise_count(words[0][i] ^ words[0][i + 1 :]) <= tau) & (label[i + 1 :] != label[i])) + i + 1
+            if across and len(near):
+                near = near[cols["own"][near] != cols["own"][i]]
+            if len(near):
+                near = near[sum(np.bitwise_count(w[i] ^ w[near]).astype(np.int64) for w in words) <= wide]
+            mine = flat[ends[i] : ends[i + 1]]
+            for j in near.tolist():
+                if label[j] == label[i]:
+                    continue
+                other = flat[ends[j] : ends[j + 1]]
+                at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                both = int(np.count_nonzero(mine[at] == other)) if len(mine) else 0
+                if both >= jaccard * (size[i] + size[j] - both) - 1e-9:
+                    found_a.append(i)
+                    found_b.append(j)
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": cols["node"][found_a], "b": cols["node"][found_b]})
+
+    names = ["whole", "part", "fp", "w1", "w2", "w3", "node", "s", "own"]
+    found = dealt.select(*names, F.col("pair.x").alias("x"), F.col("pair.y").alias("y")).groupBy("whole", "x", "y").applyInArrow(compare, "a long, b long")
+    return save(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def exact_links(unique: DataFrame, df: DataFrame, text_col: str, shingle: int, tau: int, wide: int, jaccard: float) -> DataFrame:
     """Links (a, b) of at least this exact similarity, enough to join all candidates that have it."""
     nodes = save(unique.groupBy("node").agg(F.min("at").alias("at")))
@@ -415,16 +464,17 @@ def exact_links(unique: DataFrame, df: DataFrame, text_col: str, shingle: int, t
     if not bad.limit(1).count():
         return good
     # A group all of whose candidate links hold is settled. The parts of the others may be linked by a
-    # pair that no forest has named: all pairs between different parts are verified.
+    # pair that no forest has named: they are compared within their group.
     def labels(edges: DataFrame, name: str) -> DataFrame:
         c = components(edges)
         return c.union(c.select("root", "root").distinct()).withColumnRenamed("root", name)
 
     whole = save(labels(met.select("a", "b"), "whole"))
     split = bad.join(whole.withColumnRenamed("node", "a"), "a").select("whole").distinct()
-    part = save(whole.join(split, "whole", "left_semi").join(labels(good, "part"), "node", "left").select("node", F.coalesce("part", "node").alias("part")))
-    more = links(save(unique.join(part, "node")), tau, wide, True).join(bad, ["a", "b"], "left_anti")
-    return good.union(similar(save(more), nodes, df, text_col, shingle, jaccard).where("ok").select("a", "b"))
+    part = save(whole.join(split, "whole", "left_semi").join(labels(good, "part"), "node", "left").select("node", "whole", F.coalesce("part", "node").alias("part")))
+    sets = shingle_sets(save(part.select("node").join(nodes, "node")), df, text_col, shingle)
+    more = links_in_groups(unique.drop("low", "at").join(part, "node").join(sets, "node"), tau, wide, jaccard)
+    return good.union(more)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tau: int = 16, wide: int | None = 54, jaccard: float = 0.8) -> DataFrame:

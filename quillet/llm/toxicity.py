@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold
+from ._common import fold, small_batches, tidied
 from ._learn import Logistic, labelled_texts
 from .filters import keep_rows
 
@@ -229,4 +229,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "evidence"][: len(cols)])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col), 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + ", evidence array<struct<doc_id: long, cosine: double>>" * evidence)
+    return small_batches(rows).mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int" + ", evidence array<struct<doc_id: long, cosine: double>>" * evidence)
