@@ -80,12 +80,12 @@ def titles_by_artist(spark, d):
 
 
 @register(
-    f"""WITH s AS (SELECT q.id AS query_id, r.id, {COS}(q.e, r.e) AS s FROM {E} q, {E} r WHERE q.id % 100 = 0)
+    f"""WITH s AS (SELECT q.id AS query_id, r.id, {COS}(q.e, r.e) AS s FROM {E} q, {E} r)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id DESC) AS INTEGER) AS rank, id, round(s, 6) AS score FROM s QUALIFY rank <= 3"""
 )
 def multi_query_topk(spark, d):
     rows = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    return retrieval.top_k(rows, rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 3).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(rows, rows.select(F.col("id").alias("query_id"), "embedding"), 3).withColumn("score", F.round("score", 6))
 
 
 @register("SELECT CAST(floor(n / 3) AS BIGINT) AS n, CASE WHEN n <= 5 THEN 'Explora les ' || n || ' cançons per tu' END AS message FROM (SELECT n_nationkey AS n FROM nation)")
@@ -150,7 +150,7 @@ def event_rates(spark, d):
 @register()
 def audio_descriptors(spark, d):
     """Kernels over signals made of the vectors, tiled to two and a half seconds."""
-    rows = read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("youtube_id"), F.flatten(F.array_repeat(v.doubles(F.col("embedding")), 625)).alias("samples"))
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("youtube_id"), F.flatten(F.array_repeat(v.doubles(F.col("embedding")), 625)).alias("samples"))
     return audio.base_features(rows)
 
 
@@ -203,8 +203,8 @@ def packed_extraction(spark, d):
 @register()
 def song_embeddings(spark, d):
     """The embedding job over documents: lines are chunks; missing fields have zeros."""
-    lines = F.concat(F.lit("['"), F.regexp_replace(F.substring("text", 1, 400), r"['\[\]\\\"\n]", " "), F.lit("']"))
-    rows = read(spark, d, "documents").where("doc_id < 40").select(F.col("doc_id").alias("song_id"), lines.alias("lyrics_chunks"), F.lit(None).cast("string").alias("noised_chunks"), F.col("source").alias("title"), F.lit(None).cast("string").alias("noised_title"), F.col("lang").alias("author"), F.lit(None).cast("string").alias("noised_author"))
+    lines = F.concat(F.lit("['"), F.regexp_replace("text", r"['\[\]\\\"\n]", " "), F.lit("']"))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("song_id"), lines.alias("lyrics_chunks"), F.lit(None).cast("string").alias("noised_chunks"), F.col("source").alias("title"), F.lit(None).cast("string").alias("noised_title"), F.col("lang").alias("author"), F.lit(None).cast("string").alias("noised_author"))
     return etl.embed_songs(rows).select("song_id", *(F.round(v.norm(F.col(c)), 6).alias(c) for c in ("song_emb", "noised_song_emb", "title_emb", "author_emb")))
 
 
@@ -234,7 +234,7 @@ def point_layers(spark, d):
 
 @register()
 def grid_without_collisions(spark, d):
-    return layout.snap_to_grid(_points(spark, d).where("id < 200"))
+    return layout.snap_to_grid(_points(spark, d))
 
 
 @register(f"SELECT id, title, artist FROM {_SONGS} ORDER BY title, id LIMIT 20")
@@ -320,7 +320,7 @@ def phrase_entities(spark, d):
 @register()
 def instant_search(spark, d):
     """One instant search from end to end: hits by category, as rows."""
-    news = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.substring("text", 1, 200).alias("snippet"))
+    news = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("snippet"))
     words = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     part = read(spark, d, "part")
     own = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("artist"), F.col("p_brand").alias("genre"), F.col("p_type").alias("lyrics_snippet"))
