@@ -39,6 +39,22 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order, name: str = "no") -> DataFrame:
+    """``df`` with the place of each row in an order that tells all rows apart, from 0: rows are sorted in ranges,
+    and a range's first number is the sum of the sizes of those before it, one number a range."""
+    rows = df.orderBy(*order).withColumn("quillet_part", F.spark_partition_id()).withColumn("quillet_at", F.monotonically_increasing_id())
+    rows = save(rows)
+    sizes = sorted(tuple(r) for r in rows.groupBy("quillet_part").count().collect())
+    first, total = [], 0
+    for part, n in sizes:
+        first.append((part, total))
+        total += n
+    # The upper bits of the running number are the range's.
+    starts = df.sparkSession.createDataFrame(first, "quillet_part int, quillet_first long")
+    at = F.col("quillet_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "quillet_part").select((F.col("quillet_first") + at).alias(name), *df.columns)
+
+
 _kept: dict = {}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, brown, embdedup, langid, linededup, packing, quality, simhash, toxicity
+from . import ann, bpe, brown, embdedup, impact, langid, linededup, packing, phrases, quality, simhash, spelling, toxicity
 from ._common import table
 
 
@@ -73,6 +73,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products for every twentieth id; unusable vectors take no part."""
+    return impact.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of 2 to 4 words over whole texts; null text counts as empty."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of whole texts; null text has none, rows may repeat."""
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -81,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_bpe, op3_ann, op4_language_id, op5_line_dedup, op6_quality, op7_packing, op8_toxicity, op9_embedding_dedup, op10_lm_scoring, pipeline)
+    own = (op1_simhash, op2_bpe, op3_ann, op4_language_id, op5_line_dedup, op6_quality, op7_packing, op8_toxicity, op9_embedding_dedup, op10_lm_scoring, op11_exact_search, op12_collocations, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -115,6 +130,35 @@ SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_
 FROM v JOIN comp USING (vec_id) LEFT JOIN cnt USING (vec_id)"""
 
 
+#: Integer inner products of every twentieth id with all others.
+OP11_SQL = """
+WITH dim AS (SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS e FROM embeddings
+      WHERE len(embedding) = (SELECT d FROM dim) AND NOT list_contains(list_transform(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x)), true)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+#: Phrases as lists of words of whole pieces, counted, cut and compared with longer ones.
+OP12_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+piece AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY 1),
+gram AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, g, count(*) AS f FROM gram GROUP BY 1, 2 HAVING count(*) >= 30),
+cut AS (SELECT lang, g, f AS a, unnest(generate_series(1, len(g) - 1)) AS k FROM f WHERE len(g) >= 2),
+scored AS (SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+           FROM cut c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:len(c.g)]),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+part AS (SELECT lang, g[i:i + k - 1] AS g, f FROM (SELECT lang, g, f, k, unnest(generate_series(1, len(g) - k + 1)) AS i FROM f, (SELECT unnest([2, 3]) AS k) WHERE len(g) > k)),
+more AS (SELECT lang, g, max(f) AS m FROM part GROUP BY 1, 2),
+kept AS (SELECT low.lang, array_to_string(low.g, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN more ON more.lang = low.lang AND more.g = low.g
+         WHERE m IS NULL OR 100 * m::HUGEINT < 80 * a::HUGEINT),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query: the others are tested against brute force."""
-    return {"op5_line_dedup": OP5_SQL, "op9_embedding_dedup": OP9_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op9_embedding_dedup": OP9_SQL, "op11_exact_search": OP11_SQL, "op12_collocations": OP12_SQL}
