@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import COS, TYPED, E, read, register, typed
 from .encoder import HashingEncoder
 from .functions import text as tx
 from .functions import vectors as v
-from .operators import audio, etl, features, fuzzy, layout, parser, presentation, retrieval
+from .operators import audio, etl, features, fuzzy, layout, parser, presentation, retrieval, trigrams
 from .service import Service
 from .streaming import jobs
 
@@ -317,6 +318,41 @@ def phrase_entities(spark, d):
     return parser.entities(q, _catalogue(spark, d))
 
 
+#: What the search box looks in: documents, and names of parts.
+def _searched(spark, d):
+    docs = read(spark, d, "documents").select(F.lit("news").alias("category"), F.col("doc_id").alias("id"), "text")
+    return docs.unionByName(read(spark, d, "part").select(F.lit("song").alias("category"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text")))
+
+
+def _terms(spark, d):
+    """Different words of types and names of parts, with pieces and prefixes of them."""
+    words = read(spark, d, "part").select(F.explode(F.split(F.concat_ws(" ", "p_type", "p_name"), " ")).alias("w")).distinct()
+    return words.select(F.explode(F.array(F.col("w"), F.substring("w", 1, 2), F.substring("w", 2, 4))).alias("term")).distinct()
+
+
+_FOLD = "replace(strip_accents(lower({0})), '·', '')"
+_TERMS = "(SELECT DISTINCT unnest([w, substr(w, 1, 2), substr(w, 2, 4)]) AS term FROM (SELECT DISTINCT unnest(string_split(p_type || ' ' || p_name, ' ')) AS w FROM part))"
+_SEARCHED = "(SELECT 'news' AS category, doc_id AS id, text FROM documents UNION ALL SELECT 'song', p_partkey, p_name FROM part)"
+
+
+@register(f"SELECT term, category, id FROM {_TERMS} t JOIN (SELECT category, id, {_FOLD.format('text')} AS f FROM {_SEARCHED}) s ON contains(f, {_FOLD.format('term')}) WHERE term <> ''")
+def substring_search(spark, d):
+    """Many terms over all texts at once, by the trigram index."""
+    return trigrams.search(_terms(spark, d), trigrams.index(_searched(spark, d), ["category", "id"], "text"))
+
+
+@register(
+    f"""WITH h AS (SELECT term, category, id FROM {_TERMS} t JOIN (SELECT category, id, {_FOLD.format('text')} AS f FROM {_SEARCHED}) s ON contains(f, {_FOLD.format('term')}) WHERE term <> ''),
+    r AS (SELECT term, category, id, CAST(row_number() OVER (PARTITION BY term, category ORDER BY id) AS INTEGER) AS rank FROM h)
+    SELECT term, category, rank, id FROM r WHERE rank <= CASE WHEN category = 'song' THEN 8 ELSE 5 END"""
+)
+def instant_hits_batch(spark, d):
+    """What the search box lists for each of many terms: eight songs, five news."""
+    hits = substring_search(spark, d)
+    rank = F.row_number().over(Window.partitionBy("term", "category").orderBy("id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("category") == "song", 8).otherwise(5)).select("term", "category", "rank", "id")
+
+
 @register()
 def instant_search(spark, d):
     """One instant search from end to end: hits by category, as rows."""
