@@ -154,15 +154,43 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return nodes[other], nodes[label[other]]
 
 
+#: Edges that a task contracts at a time before the rounds.
+EDGES = 500_000
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow``: star edges (a, b), b the smaller, of the components of a task's own edges."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, limit = [], EDGES
+    n = 0
+
+    def merge() -> None:
+        nonlocal a, b, held, n, limit
+        a, b = local_components(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+        held, n, limit = [], 0, max(EDGES, len(a))
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy().copy(), batch.column(1).to_numpy().copy()))
+        n += batch.num_rows
+        if n >= limit:
+            merge()
+    if held:
+        merge()
+    for lo in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], ["a", "b"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as (node, root), root the smallest node.
 
-    Alternates the large-star and small-star contractions. Hubs are met by aggregations with partial
+    Parts of about EDGES edges are contracted to stars in their tasks first; what they share is settled by rounds.
+    These alternate the large-star and small-star contractions. Hubs are met by aggregations with partial
     results, and by joins of written tables with one row a node: a small one is broadcast, as its size is
     known, and of a large one adaptive plans can split the hubs' partitions. Every round is written.
-    Nodes without links don't appear. Raises if ``max_rounds`` don't suffice.
+    Roots and nodes without links don't appear. Raises if ``max_rounds`` don't suffice.
     """
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = save(e.coalesce(max(1, -(-e.count() // EDGES))).mapInArrow(contracted, "a long, b long"))
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select("b", "a"))

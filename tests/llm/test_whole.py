@@ -63,3 +63,22 @@ def test_language_bound_leaves_rows_to_every_language(spark, monkeypatch):
     m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10**6)
     for lang in "aa", "bb":
         assert 5 <= sum(w.startswith({"aa": "x", "bb": "q"}[lang]) for w in m.words) <= 40
+
+
+def test_components_of_edges_in_many_parts(spark, monkeypatch):
+    from quillet.llm import _common
+
+    monkeypatch.setattr(_common, "EDGES", 5)
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(4)
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(50)]
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    want = {x: x for p in pairs for x in p}
+    for _ in range(70):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == {x: low for x, low in want.items() if low != x}  # roots don't appear
