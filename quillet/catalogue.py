@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import vectors as v
 from .functions.distance import weighted_distance
-from .operators import features, fuzzy, layout, retrieval, weighted
+from .operators import features, fuzzy, layout, retrieval, spans, weighted
 from .plans.durable import shared_dir
 from .schemas import EVENTS
 from .streaming import jobs
@@ -323,10 +323,24 @@ def artist_expansion(spark, d):
 def span_entity_detection(spark, d):
     part = read(spark, d, "part")
     q = part.select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("query"))
-    hits = fuzzy.spans(q.select("query").distinct()).join(part.select(F.col("p_name").alias("span")).distinct(), "span").groupBy("query").agg(F.min_by("span", F.struct("i", "j")).alias("entity"))
+    hits = spans.spans(q, "query", "query", part, "p_name").groupBy("query").agg(F.min_by("span", F.struct("i", "j")).alias("entity"))
     return q.join(hits, "query").select(F.col("p_partkey").alias("id"), "entity")
 
 
+@register(
+    """WITH e AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:n], ' ') AS e FROM benchmark, (SELECT unnest([1, 2, 3]) AS n)),
+    w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS span FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n))
+    SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(i + n - 1 AS INTEGER) AS j, span FROM s WHERE span IN (SELECT e FROM e)"""
+)
+def dictionary_spans(spark, d):
+    """Every place in all documents where one of the benchmark's first words, pairs or triples of words stands."""
+    words = F.split("text", " ")
+    entries = read(spark, d, "benchmark").select(F.explode(F.array(*(F.array_join(F.slice(words, 1, n), " ") for n in (1, 2, 3)))).alias("e"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return spans.spans(docs, "doc_id", "text", entries, "e")
+
+
 @register(
     """WITH c AS (SELECT p_brand AS query, p_name AS text, p_partkey AS seq, p_size % 12 * 10000.0 - p_partkey % 5 * 100.0 + ln(1 + p_retailprice) AS score FROM part),
     b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query, text ORDER BY score DESC, seq) = 1),

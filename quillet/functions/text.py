@@ -91,8 +91,16 @@ def bigrams(x: Column) -> Column:
     return F.when(F.length(x) >= 2, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+#: The longest texts with 0, 1, 2 and 3 edits; longer ones have 4 (fixed values).
+BUDGETS = [3, 5, 9, 13]
+
+
 def edit_budget(length: Column, cap: int = 4) -> Column:
-    return F.least(F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 9, 2).when(length <= 13, 3).otherwise(4), F.lit(cap))
+    return F.least(sum(((length > n).cast("int") for n in BUDGETS), F.lit(0)), F.lit(cap))
+
+
+def budget_of(length: int, cap: int = 4) -> int:
+    return min(sum(length > n for n in BUDGETS), cap)
 
 
 def distance_to_prob(d: Column, length: Column) -> Column:
