@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import vectors as v
 from .functions.distance import weighted_distance
-from .operators import features, fuzzy, layout, retrieval, spans, weighted
+from .operators import features, fuzzy, layout, quantiles, retrieval, spans, weighted
 from .plans.durable import shared_dir
 from .schemas import EVENTS
 from .streaming import jobs
@@ -388,7 +388,17 @@ def page_classifier(spark, d):
 
 @register("SELECT event_type, round(avg(value), 6) AS mean_value, round(median(value), 6) AS median_value, count(*) AS n FROM events GROUP BY 1")
 def session_means_medians(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.median("value"), 6).alias("median_value"), F.count("*").alias("n"))
+    events = read(spark, d, "events")
+    half = quantiles.grouped_quantiles(events, ["event_type"], "value", [0.5]).select("event_type", F.round("value", 6).alias("median_value"))
+    means = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
+    return means.join(half, F.equal_null(means["event_type"], half["event_type"]), "left").select(means["event_type"], "mean_value", "median_value", "n")
+
+
+@register(" UNION ALL ".join(f"SELECT l_returnflag, CAST(l_linenumber AS INTEGER) AS day, {p}::DOUBLE AS p, round(quantile_cont(l_extendedprice, {p}), 4) AS value FROM lineitem GROUP BY 1, 2" for p in (0.0, 0.1, 0.5, 0.99, 1.0)))
+def grouped_percentiles(spark, d):
+    """Exact percentiles of groups, without a task that holds a group."""
+    items = read(spark, d, "lineitem").withColumn("day", F.col("l_linenumber").cast("int"))
+    return quantiles.grouped_quantiles(items, ["l_returnflag", "day"], "l_extendedprice", [0.0, 0.1, 0.5, 0.99, 1.0], 1000).withColumn("value", F.round("value", 4))
 
 
 @register("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS weighted_mean FROM lineitem GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import written
+from .quantiles import grouped_quantiles
 
 
 def mds(x: np.ndarray, dims: int = 2, rounds: int = 300) -> np.ndarray:
@@ -95,7 +96,7 @@ def centre_and_scale(points: DataFrame, focal: int, p: float = 0.75) -> DataFram
     distances from it."""
     f = points.where(F.col("id") == focal).select(F.col("x").alias("fx"), F.col("y").alias("fy"))
     c = points.crossJoin(F.broadcast(f)).select("id", (F.col("x") - F.col("fx")).alias("x"), (F.col("y") - F.col("fy")).alias("y"))
-    s = c.where(F.col("id") != focal).agg(F.percentile(F.hypot("x", "y"), F.lit(p)).alias("s"))
+    s = grouped_quantiles(c.where(F.col("id") != focal).withColumn("far", F.hypot("x", "y")), [], "far", [p]).agg(F.max("value").alias("s"))
     k = F.when(F.col("s") > 1e-8, F.col("s")).otherwise(1.0)
     return c.crossJoin(F.broadcast(s)).select("id", (F.col("x") / k).alias("x"), (F.col("y") / k).alias("y"))
 

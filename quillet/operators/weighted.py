@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import written
-from .quantiles import edges
 
 
 def usable(df: DataFrame, x: str, w: str) -> DataFrame:
@@ -17,19 +21,26 @@ def weighted_mean(df: DataFrame, x: str, w: str, by: str) -> DataFrame:
     return df.groupBy(by).agg((F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("weighted_mean"))
 
 
-def cumulative(df: DataFrame, x: str, w: str, buckets: int = 256) -> DataFrame:
-    """(x, w, cum, total) of each different x in order. Prefix sums in two levels: within ranges of x in
-    parallel, then the sums of at most ``buckets`` ranges. Ranges end at quantiles of x, so that a heavy
-    tail fills no range more than others."""
-    d = written(usable(df, x, w).groupBy("x").agg(F.sum("w").alias("w")))
-    cuts = edges(d, "x", buckets)
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
-    d = d.withColumn("b", bucket)
-    sums = d.groupBy("b").agg(F.sum("w").alias("s"))
-    total = F.sum("s").over(Window.partitionBy())
-    before = sums.select("b", (F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"), total.alias("total"))
-    inner = F.sum("w").over(Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return d.join(F.broadcast(before), "b").select("x", "w", (F.col("before") + inner).alias("cum"), "total")
+def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over (x, w) in order: adds the task's number and its running sum of w."""
+    task, before = TaskContext.get().partitionId(), 0.0
+    for batch in batches:
+        if batch.num_rows:
+            sums = before + np.cumsum(batch.column(1).to_numpy())
+            before = float(sums[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sums), task, np.int32)), pa.array(sums)], ["x", "w", "part", "inner"])
+
+
+def cumulative(df: DataFrame, x: str, w: str) -> DataFrame:
+    """(x, w, cum, total) of each different x in order, by a scan in one pass: x is sorted in ranges, each range
+    sums up on its own, and what comes before it is the sum of the ranges before, one number a range."""
+    d = usable(df, x, w).groupBy("x").agg(F.sum("w").alias("w"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = written(d.repartitionByRange(ranges, "x").sortWithinPartitions("x").mapInArrow(running, "x double, w double, part int, inner double"))
+    sums = d.groupBy("part").agg(F.max("inner").alias("s"))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    before = sums.select("part", (F.sum("s").over(every) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    return d.join(F.broadcast(before), "part").select("x", "w", (F.col("before") + F.col("inner")).alias("cum"), "total")
 
 
 def percentiles(df: DataFrame, x: str, w: str, points: list[float]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,38 @@ def as_json(df: DataFrame, name: str = "body") -> DataFrame:
 def mark_processed(ids: DataFrame, path: str, id_col: str = "youtube_id") -> None:
     """Adds ids to a state table; unprocessed() reads it back without regard to repeats."""
     ids.select(id_col).write.mode("append").parquet(path)
+
+
+def publish(df: DataFrame, path: str, batch: str) -> bool:
+    """Writes the rows of a batch once, whatever happens: an attempt is written to a folder of its own, then an
+    empty file in the manifest names batch and attempt. Rows count from then on; a batch that is published isn't
+    written again. An attempt that broke off is named nowhere, and of two that race the smaller name counts."""
+    spark = df.sparkSession
+    if any(b == batch for b, _ in manifest(spark, path)):
+        return False
+    attempt = uuid.uuid4().hex
+    df.write.parquet(f"{path}/rows/{batch}/{attempt}")
+    _announce(spark, path, batch, attempt)
+    return True
+
+
+def _announce(spark: SparkSession, path: str, batch: str, attempt: str) -> None:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{batch}.{attempt}")
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(name, True).close()
+
+
+def manifest(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(batch, attempt) of the batches that are published; one name a batch."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    first: dict[str, str] = {}
+    for batch, _, attempt in (n.rpartition(".") for n in sorted(names) if not n.startswith(".")):
+        first.setdefault(batch, attempt)
+    return list(first.items())
+
+
+def published(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all published batches."""
+    folders = [f"{path}/rows/{batch}/{attempt}" for batch, attempt in manifest(spark, path)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
