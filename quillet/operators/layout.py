@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import written
@@ -130,7 +132,7 @@ def grid_cells(points: DataFrame, padding: int = 2) -> DataFrame:
 
 
 def spiral_free(cells: pd.DataFrame) -> pd.DataFrame:
-    """Cells in the order of id, each moved outwards ring by ring to the first free one within the grid; where
+    """The plain rule, one point after the other: cells in the order of id, each moved outwards ring by ring to the first free one within the grid; where
     none is free it stays. ``cells(id, gx, gy[, g])``: g is the grid's side."""
     side = int(cells["g"].iloc[0]) if "g" in cells and len(cells) else 1 << 30
     taken: set[tuple[int, int]] = set()
@@ -145,10 +147,104 @@ def spiral_free(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "gx", "gy"])
 
 
+def ring_place(k: Column) -> tuple[Column, Column]:
+    """(dx, dy) of the k-th place around a cell: itself, then ring by ring, each by dx, then dy."""
+    r = F.ceil((F.sqrt(k + 1) - 1) / 2).cast("long")
+    m = k - F.when(r > 0, (2 * r - 1) * (2 * r - 1)).otherwise(0)
+    side, inner = 2 * r + 1, 2 * (2 * r - 1)
+    t, u = m - side, m - side - inner
+    left, middle = m < side, m < side + inner
+    dx = F.when(r == 0, 0).when(left, -r).when(middle, 1 - r + F.floor(t / 2)).otherwise(r)
+    dy = F.when(r == 0, 0).when(left, m - r).when(middle, F.when(t % 2 == 0, -r).otherwise(r)).otherwise(u - r)
+    return dx.cast("long"), dy.cast("long")
+
+
+#: Cells of a side of a tile, whose points are placed by one task before the rounds, so many at a time at most.
+TILE, POINTS = 64, 20_000
+
+
+def _in_tiles(active: DataFrame) -> DataFrame:
+    """``active`` with the place (at, x, y) of each point among those of its tile; crowded tiles are dealt to several
+    tasks by a hash of the id."""
+    tiled = active.withColumns({"tx": F.floor(F.col("gx") / TILE), "ty": F.floor(F.col("gy") / TILE)})
+    parts = tiled.groupBy("tx", "ty").agg(F.ceil(F.count("*") / POINTS).alias("parts"))
+    dealt = tiled.join(parts, ["tx", "ty"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: set[tuple[int, int]] = set()
+        walks: dict[tuple[int, int], Iterator] = {}
+        out = []
+        for r in pdf.sort_values("id").itertuples():
+            # Those before it are smaller ids: a place that they have is refused for good.
+            walk = walks.setdefault((r.gx, r.gy), enumerate(_walk(r.gx, r.gy, r.g)))
+            k, spot = next(((k, c) for k, c in walk if c is not None and c not in taken), (-1, (r.gx, r.gy)))
+            if k >= 0:
+                taken.add(spot)
+            out.append((r.id, r.gx, r.gy, r.g, k, *spot))
+        return pd.DataFrame(out, columns=["id", "gx", "gy", "g", "at", "x", "y"])
+
+    return dealt.groupBy("tx", "ty", "part").applyInPandas(place, "id long, gx long, gy long, g long, at long, x long, y long")
+
+
+def _walk(x: int, y: int, side: int) -> Iterator[tuple[int, int] | None]:
+    """The places around a cell in their order, None for those outside the grid."""
+    yield (x, y)
+    for ring in range(1, side):
+        for dx in range(-ring, ring + 1):
+            for dy in range(-ring, ring + 1) if abs(dx) == ring else (-ring, ring):
+                yield (x + dx, y + dy) if 0 <= x + dx < side and 0 <= y + dy < side else None
+
+
+def collision_free(cells: DataFrame) -> DataFrame:
+    """(id, gx, gy) of cells(id, gx, gy, g): what ``spiral_free`` gives, found in parallel: within tiles first, what
+    tiles dispute in rounds.
+
+    Every point that has no place proposes one; a cell keeps the smallest id that ever proposed it, and whom that
+    displaces proposes again, further on. Cells only ever pass to smaller ids, so what a point was refused stays
+    refused, and the outcome is that of the points one by one in order of id. The points of one cell have the same
+    order of places: with r smaller ids of them still to be placed, a point can't have any of the first r places
+    that aren't held by an id smaller than all of theirs, so each proposes a place of its own.
+
+    A point that finds no free cell within the grid stays where it was. Ids are different and not null.
+    """
+    names = ["id", "gx", "gy", "g"]
+    active = written(cells.select(F.col("id").cast("long").alias("id"), F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.col("g").cast("long").alias("g"), F.lit(0).cast("long").alias("at")))
+    pool = written(_in_tiles(active.drop("at")))
+    lost = pool.where("at < 0").select("id", "gx", "gy")
+
+    def settle(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Who has each cell, and who was refused or displaced and goes on behind it."""
+        best = pool.groupBy("x", "y").agg(F.min(F.struct(*names, "at")).alias("b"))
+        kept = written(best.select("b.*", "x", "y"))
+        return kept, pool.join(kept.select("id", "x", "y"), ["id", "x", "y"], "left_anti").select(*names, (F.col("at") + 1).alias("at"))
+
+    held, refused = settle(pool.where("at >= 0"))
+    active = written(refused)
+    origin = Window.partitionBy("gx", "gy")
+    while active.limit(1).count():
+        ranked = active.withColumn("r", F.row_number().over(origin.orderBy("id")) - 1)
+        every = active.groupBy("gx", "gy", "g").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.min("at").alias("lo"))
+        last = (2 * F.col("g") - 1) * (2 * F.col("g") - 1)
+        every = every.withColumn("hi", F.least(last, F.col("lo") + 4 * F.col("m") + 64)).withColumn("last", last)
+        dx, dy = ring_place(F.col("k"))
+        near = every.where("lo < hi").withColumn("k", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))).withColumn("x", F.col("gx") + dx).withColumn("y", F.col("gy") + dy)
+        near = near.where((F.col("k") == 0) | (F.col("x").between(0, F.col("g") - 1) & F.col("y").between(0, F.col("g") - 1)))
+        open_ = near.join(held.select("x", "y", F.col("id").alias("holder")), ["x", "y"], "left").where("holder is null or holder > least")
+        open_ = open_.withColumn("r", F.row_number().over(origin.orderBy("k")) - 1).where("r < m").select("gx", "gy", "r", "x", "y", "k")
+        asked = ranked.join(every.select("gx", "gy", "hi", "last"), ["gx", "gy"]).join(open_, ["gx", "gy", "r"], "left")
+        asked = written(asked.select(*names, "x", "y", "k", "hi", "last"))
+        pool = held.union(asked.where("k is not null").select(*names, F.col("k").alias("at"), "x", "y"))
+        held, refused = settle(pool)
+        # Who had no place to propose goes on behind the window.
+        none = asked.where("k is null")
+        lost = lost.union(none.where("hi >= last").select("id", "gx", "gy"))
+        active = written(refused.union(none.where("hi < last").select(*names, F.col("hi").alias("at"))))
+    return held.select("id", F.col("x").cast("int").alias("gx"), F.col("y").cast("int").alias("gy")).union(lost.select("id", F.col("gx").cast("int"), F.col("gy").cast("int")))
+
+
 def snap_to_grid(points: DataFrame) -> DataFrame:
-    """(id, gx, gy): one cell for each point of a page, collisions solved in order of id. One task, as each
-    place depends on all before: meant for what a screen shows."""
-    return grid_cells(points).groupBy().applyInPandas(spiral_free, "id long, gx int, gy int")
+    """(id, gx, gy): one cell for each point, collisions solved in order of id."""
+    return collision_free(grid_cells(points))
 
 
 def neighbourhood_layout(rows: DataFrame, focal: int, id_col: str, vec_col: str, previous: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillet.operators import quantiles, weighted
+from quillet.operators import layout, quantiles, weighted
 
 
 @pytest.mark.parametrize("inside", [40, 100_000])
@@ -39,3 +39,31 @@ def test_running_sums_over_many_ranges(spark):
     sums = pd.Series(w[w > 0]).groupby(x[w > 0]).sum()
     assert np.array_equal(got["x"], sums.index) and np.allclose(got["cum"], sums.cumsum()) and set(got["total"]) == {w.sum()}
     assert weighted.cumulative(df.where("w < 0"), "x", "w").count() == 0
+
+
+def test_places_of_rings(spark):
+    k = spark.range(11 * 11).select(F.col("id").alias("k"))
+    got = [(r["x"], r["y"]) for r in k.select("k", *(c.alias(n) for c, n in zip(layout.ring_place(F.col("k")), "xy", strict=True))).orderBy("k").collect()]
+    assert got == [(dx, dy) for ring in range(6) for dx in range(-ring, ring + 1) for dy in range(-ring, ring + 1) if max(abs(dx), abs(dy)) == ring]
+
+
+@pytest.mark.parametrize("kind", ["one tile", "tiles", "crowded tile"])
+def test_collisions_in_parallel_equal_the_plain_rule(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    n, g = {"one tile": (300, 24), "tiles": (50, 14), "crowded tile": (14, 12)}[kind]
+    if kind != "one tile":
+        monkeypatch.setattr(layout, "TILE", 3)
+    if kind == "crowded tile":
+        monkeypatch.setattr(layout, "POINTS", 5)
+    at = {"one tile": rng.integers(8, 12, (n, 2)), "tiles": rng.integers(2, 7, (n, 2)), "crowded tile": np.full((n, 2), 4)}[kind]
+    cells = pd.DataFrame({"id": rng.permutation(5000)[:n], "gx": at[:, 0], "gy": at[:, 1], "g": g})
+    want = {r.id: (r.gx, r.gy) for r in layout.spiral_free(cells).itertuples()}
+    got = {r["id"]: (r["gx"], r["gy"]) for r in layout.collision_free(spark.createDataFrame(cells)).collect()}
+    assert got == want and len(set(got.values())) == n
+
+
+def test_points_without_a_free_cell_stay(spark):
+    cells = pd.DataFrame({"id": range(6), "gx": [0, 0, 0, 1, 1, 0], "gy": [0, 0, 0, 1, 1, 0], "g": 2})
+    want = {r.id: (r.gx, r.gy) for r in layout.spiral_free(cells).itertuples()}
+    assert {r["id"]: (r["gx"], r["gy"]) for r in layout.collision_free(spark.createDataFrame(cells)).collect()} == want
+    assert layout.collision_free(spark.createDataFrame(cells).limit(0)).count() == 0
