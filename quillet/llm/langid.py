@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fold, save, small_batches, tidied
 
-#: Documents of each language that the model is fitted on (expected number), languages at most,
-#: words, and n-grams of each order, kept of each language (from 9 languages on all have an equal share of
-#: 8 times as many), the longest n-gram.
-PER_LANG, LANGS, WORDS, GRAM = 1500, 200, 30_000, 5
+#: Documents that the model is fitted on: of each language about PER_LANG, of all together about DOCUMENTS, in equal
+#: shares for the languages; letters of one. That is the bound of what the model holds. The longest n-gram.
+PER_LANG, DOCUMENTS, LARGEST, GRAM = 1500, 12_000, 100_000, 5
 #: How much an unseen word counts against a known one.
 BACKOFF = 0.5
 STORE = 300_000
@@ -30,45 +30,100 @@ LEAST, SLICE, LETTERS, LONGEST = 3, 32, 10, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class Table(dict):
+    """Log frequencies of strings in each language: the string's row, what all strings have, and what each has above
+    it in the languages that it was met in."""
+
+    def __init__(self, names: pa.Array, lang: np.ndarray, count: np.ndarray, n: int, least: int):
+        """A row for each string and language, in any order; strings met ``least`` times in all are kept."""
+        order = pc.sort_indices(pa.table({"s": names, "l": pa.array(lang)}), [("s", "ascending"), ("l", "ascending")]).to_numpy()
+        names, lang, count = names.take(pa.array(order)), lang[order], count[order].astype(np.float64)
+        total = np.bincount(lang, weights=count, minlength=n)
+        self.base = np.log(0.5 / (total + 1))
+        code = names.dictionary_encode()
+        size = np.bincount(code.indices.to_numpy(), minlength=len(code.dictionary))
+        keep = np.bincount(code.indices.to_numpy(), weights=count, minlength=len(code.dictionary)) >= least
+        some = np.repeat(keep, size)
+        self.lang = lang[some].astype(np.int32)
+        self.above = (np.log(count[some] + 0.5) - np.log(0.5)).astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int64)
+        super().__init__((s, i) for i, s in enumerate(code.dictionary.filter(pa.array(keep)).to_pylist()))
+
+    def __reduce__(self):
+        return _table, (dict(self), self.__dict__)
+
+    def add(self, out: np.ndarray, row: int, weight: float = 1.0) -> None:
+        """Adds to ``out`` what a string has above the base; a language stands once in a string's part."""
+        of = slice(self.start[row], self.start[row + 1])
+        out[self.lang[of]] += weight * self.above[of]
+
+
+def _table(rows: dict, more: dict) -> Table:
+    t = Table.__new__(Table)
+    t.update(rows)
+    t.__dict__.update(more)
+    return t
+
+
+def _counted(rows: list[tuple[str, str, int]], langs: list[str], n: int, least: int) -> Table:
+    """A table of (lang, string, count), in which a pair may repeat."""
+    total: Counter = Counter()
+    for lang, s, c in rows:
+        total[s, lang] += c
+    at = {lang: i for i, lang in enumerate(langs)}
+    return Table(pa.array([s for s, _ in total], pa.string()), np.array([at[x] for _, x in total], np.int64), np.array(list(total.values()), np.int64), n, least)
+
+
 class Model:
     def __init__(self, counts: list[tuple[str, str, int]], grams: dict[int, list[tuple[str, str, int]]] | None = None):
         """counts: (lang, word, count) of the sample; grams: (lang, n-gram, count) by order, by default
         those of the words."""
         self.langs = sorted({lang for part in (counts, *(grams or {}).values()) for lang, _, _ in part})
-        at = {lang: i for i, lang in enumerate(self.langs)}
         n = max(1, len(self.langs))
-        self.words, self.word_vectors = self._log([(w, at[lang], c) for lang, w, c in counts], n, 1)
-        self.grams, self.gram_vectors = [{}], [np.zeros((0, n), np.float32)]
+        self.words = _counted(counts, self.langs, n, 1)
+        self.grams = [_counted([], self.langs, n, 1)]
         for k in range(1, GRAM + 1):
-            own = [(g, at[lang], c) for lang, w, c in counts for g in grams_of(w, k)] if grams is None else [(g, at[lang], c) for lang, g, c in grams.pop(k, [])]
-            table, vectors = self._log(own, n, LEAST)
-            self.grams.append(table)
-            self.gram_vectors.append(vectors)
-
-    @staticmethod
-    def _log(counts: list[tuple[str, int, int]], n: int, least: int) -> tuple[dict[str, int], np.ndarray]:
-        """Row numbers of the strings met ``least`` times, and their log frequencies in each language."""
-        row: dict[str, int] = {}
-        rows = np.fromiter((row.setdefault(k, len(row)) for k, _, _ in counts), np.int64, len(counts))
-        v = np.zeros((len(row), n))
-        np.add.at(v, (rows, np.fromiter((x[1] for x in counts), np.int64, len(counts))), np.fromiter((x[2] for x in counts), float, len(counts)))
-        total = v.sum(axis=0)
-        keep = v.sum(axis=1) >= least
-        names = [k for k, ok in zip(row, keep) if ok]
-        return dict(zip(names, range(len(names)))), np.log((v[keep] + 0.5) / (total + 1)).astype(np.float32)
+            own = [(lang, g, c) for lang, w, c in counts for g in grams_of(w, k)] if grams is None else grams.get(k, [])
+            self.grams.append(_counted(own, self.langs, n, LEAST))
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Model:
+        """Of (k, lang, s, n): words with k = 0, n-grams by their order."""
+        self = cls([])
+        code = table["lang"].combine_chunks().dictionary_encode()
+        code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+        names = code.dictionary.to_pylist()
+        self.langs = sorted(names)
+        rank = np.array([self.langs.index(x) for x in names], np.int64)
+        lang = rank[code.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        order, count = table["k"].to_numpy(), table["n"].to_numpy()
+        tables = []
+        for k in range(GRAM + 1):
+            own = np.flatnonzero(order == k)
+            s = table["s"].take(pa.array(own))
+            s = pa.concat_arrays(s.chunks) if s.num_chunks else pa.array([], pa.string())
+            tables.append(Table(s, lang[own], count[own], max(1, len(names)), LEAST if k else 1))
+        self.words, self.grams = tables[0], [self.grams[0], *tables[1:]]
+        return self
 
     def vector(self, word: str) -> np.ndarray:
         """What one token of ``word`` adds for each language."""
         i = self.words.get(word)
         if i is not None:
-            return self.word_vectors[i]
+            out = self.words.base.copy()
+            self.words.add(out, i)
+            return out
         total = np.zeros(len(self.langs))
         for at in range(0, len(word), SLICE):
             part = min(len(word) - at, SLICE)
             for k in range(GRAM, 0, -1):
-                known = [i for g in grams_of(word, k, at) if (i := self.grams[k].get(g)) is not None]
+                table = self.grams[k]
+                known = [i for g in grams_of(word, k, at) if (i := table.get(g)) is not None]
                 if known:
-                    total += BACKOFF * max(part / LETTERS, part / len(word)) * self.gram_vectors[k][known].mean(axis=0)
+                    weight = BACKOFF * max(part / LETTERS, part / len(word))
+                    total += weight * table.base
+                    for i in known:
+                        table.add(total, i, weight / len(known))
                     break
         return total
 
@@ -82,14 +137,18 @@ def grams_of(word: str, k: int, at: int | None = None) -> list[str]:
     return [source[i : i + k] for i in range(at or 0, last)]
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fitted on a sample of rows with text and lang outside the held-out fold, chosen by a hash of
-    the id: about ``per_lang`` of each language."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, documents: int = DOCUMENTS) -> Model:
+    """Fitted on a sample of rows with text and lang outside the held-out fold, chosen by a hash of the id: about
+    ``per_lang`` of each language, or as many as give all languages an equal share of ``documents`` (one at least),
+    texts of at most ``LARGEST`` letters where a language has more than one. All languages are learned, and all
+    words and n-grams of the sample count."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
-    keep = F.lit(False)
-    for r in totals:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, per_lang / r["n"]))))
+    # One row a language, joined back: as many as there are languages, each with the least hash to be sure of one.
+    hashed = rows.withColumn("quillet_h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
+    totals = save(hashed.groupBy("lang").agg(F.count("*").alias("quillet_n"), F.min("quillet_h").alias("quillet_least")))
+    share = min(float(per_lang), documents / max(1, totals.count()))
+    limit = F.greatest(F.col("quillet_least") + 1, (1_000_000 * F.least(F.lit(1.0), share / F.col("quillet_n"))).cast("long"))
+    chosen = hashed.join(totals.select("lang", "quillet_least", limit.alias("quillet_limit")), "lang").where("quillet_h < quillet_limit").where((F.length("text") <= LARGEST) | (F.col("quillet_h") == F.col("quillet_least")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -118,33 +177,11 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
                     letters = 0
         yield from out()
 
-    got = rows.where(keep).select("lang", "text").mapInArrow(count, "lang string, k int, s string, n long")
-    by = got.groupBy("k", "s", "lang").agg(F.sum("n").alias("n")).groupBy("k", "s").agg(F.collect_list(F.struct("lang", "n")).alias("x"), F.sum("n").alias("t"))
-    # Words are met twice in a language, n-grams LEAST times in all.
-    every = by.where((F.col("k") == 0) | (F.col("t") >= LEAST)).select("k", "s", F.explode("x").alias("x")).select("k", "s", "x.lang", "x.n").where((F.col("k") > 0) | (F.col("n") > 1))
-    counts = save(every)
-    most = WORDS * 8 // max(len(totals), 8)
-    hist: dict = {}
-    for r in counts.groupBy("k", "lang", "n").agg(F.count("*").alias("c")).collect():
-        hist.setdefault((r["k"], r["lang"]), []).append((r["n"], r["c"]))
-    cut = []
-    for (k, lang), x in hist.items():
-        have = 0
-        for n, c in sorted(x, reverse=True):
-            if have + c > most:  # of those met equally often, a share chosen by a hash
-                cut.append((k, lang, n, int((most - have) / c * 1_000_000)))
-                break
-            have += c
-    chosen = counts
-    if cut:
-        limits = F.broadcast(docs.sparkSession.createDataFrame(cut, "k int, lang string, least long, share long"))
-        chosen = counts.join(limits, ["k", "lang"], "left").where(F.col("least").isNull() | (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("s"), F.lit(1_000_000)) < F.col("share"))))
-    read = {}
-    for k in range(GRAM + 1):
-        t = chosen.where(F.col("k") == k).select("lang", "s", "n").toPandas()
-        # In a fixed order: equal runs give equal sums.
-        read[k] = sorted(zip(t["lang"], t["s"], t["n"]))
-    return Model(read.pop(0), read)
+    got = chosen.select("lang", "text").mapInArrow(count, "lang string, k int, s string, n long")
+    # Parts are summed up in the tasks; one shuffle serves the sums of languages and those of all.
+    by = got.repartition("k", "s").groupBy("k", "s", "lang").agg(F.sum("n").alias("n"))
+    every = by.withColumn("t", F.sum("n").over(Window.partitionBy("k", "s"))).where((F.col("k") == 0) | (F.col("t") >= LEAST))
+    return Model.of(every.select("k", "lang", "s", "n").toArrow())  # of a bounded sample
 
 
 class Scorer:
@@ -182,7 +219,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``und`` with score 0 where text is null or has no letter; ties go to the smaller language name.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # WORDS words a language and their n-grams
+    shared = df.sparkSession.sparkContext.broadcast(model)  # words and n-grams of DOCUMENTS documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

@@ -57,12 +57,17 @@ def test_language_of_runs_without_blanks(spark):
     assert scorer(run("ja", 300) + " " + run("th", 5) + " " + run("th", 5))[0] == "ja"
 
 
-def test_language_bound_leaves_rows_to_every_language(spark, monkeypatch):
-    monkeypatch.setattr(langid, "WORDS", 20)
-    rows = [(i, " ".join(f"{w}{chr(97 + j % 26)}{chr(97 + j // 26)} " * (9 if w == "x" else 2) for j in range(60)), lang) for i in range(4) for lang, w in (("aa", "x"), ("bb", "q"))]
-    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10**6)
-    for lang in "aa", "bb":
-        assert 5 <= sum(w.startswith({"aa": "x", "bb": "q"}[lang]) for w in m.words) <= 40
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(2)
+    vocab = {f"l{i:03d}": ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(30)] for i in range(250)}
+    rows = [(250 * k + i, " ".join(rng.choice(v, 40)), lang) for k in range(6) for i, (lang, v) in enumerate(vocab.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(docs, documents=700)  # under three of each
+    assert len(m.langs) >= 249 and m.langs == sorted(m.langs)
+    got = langid.identify(docs, m).join(docs, "doc_id").where("lang_pred = lang").count()
+    assert got >= 0.97 * len(rows)
+    long = spark.createDataFrame([(1, "x " * 80_000, "xx"), (4, "y " * 80_000, "yy"), (5, "z z", "yy")], "doc_id long, text string, lang string")
+    assert set(langid.fit(long, documents=2).langs) <= {"xx", "yy"}
 
 
 def test_components_of_edges_in_many_parts(spark, monkeypatch):
