@@ -201,10 +201,16 @@ def packed_extraction(spark, d):
     return etl.extract_packed(rows.withColumn("p", p), "p").select("doc_id", F.md5("artista").alias("artista"), F.col("canco"), F.md5("lletra").alias("lletra"))
 
 
+#: Words of a chunk of a document: fewer than the encoder reads.
+CHUNK = 200
+
+
 @register()
 def song_embeddings(spark, d):
-    """The embedding job over documents: lines are chunks; missing fields have zeros."""
-    lines = F.concat(F.lit("['"), F.regexp_replace("text", r"['\[\]\\\"\n]", " "), F.lit("']"))
+    """The embedding job over documents: every CHUNK words are a chunk; missing fields have zeros."""
+    words = F.split(F.regexp_replace("text", r"['\[\]\\\"\s]+", " "), " ")
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / CHUNK)), lambda i: F.array_join(F.slice(words, (i * CHUNK + 1).cast("int"), CHUNK), " "))
+    lines = F.concat(F.lit("['"), F.array_join(cuts, "', '"), F.lit("']"))
     rows = read(spark, d, "documents").select(F.col("doc_id").alias("song_id"), lines.alias("lyrics_chunks"), F.lit(None).cast("string").alias("noised_chunks"), F.col("source").alias("title"), F.lit(None).cast("string").alias("noised_title"), F.col("lang").alias("author"), F.lit(None).cast("string").alias("noised_author"))
     return etl.embed_songs(rows).select("song_id", *(F.round(v.norm(F.col(c)), 6).alias(c) for c in ("song_emb", "noised_song_emb", "title_emb", "author_emb")))
 
@@ -227,6 +233,14 @@ def nearest_point(spark, d):
     return presentation.nearest_point(p, 0.1, 0.2).select("id", F.round("distance", 6).alias("distance"))
 
 
+@register(f"SELECT label, round(m, 6) + 0.0 AS first, round(n, 6) + 0.0 AS last FROM (SELECT label, sum(CASE WHEN id % 3 <> 0 THEN e[1] ELSE 0 END) / greatest(sum(CASE WHEN id % 3 <> 0 THEN 1 ELSE 0 END), 1e-9) AS m, sum(CASE WHEN id % 3 <> 0 THEN e[64] ELSE 0 END) / greatest(sum(CASE WHEN id % 3 <> 0 THEN 1 ELSE 0 END), 1e-9) AS n FROM {E} GROUP BY 1)")
+def masked_mean_pool(spark, d):
+    """Mean vectors of a label over the rows that a mask keeps, as tokens are pooled."""
+    rows = read(spark, d, "embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    mean = retrieval.chunk_means(rows, "label", "embedding", "mask")
+    return mean.select("label", (F.round(F.get("mean", F.lit(0)), 6) + 0.0).alias("first"), (F.round(F.get("mean", F.lit(63)), 6) + 0.0).alias("last"))
+
+
 @register(f"SELECT id, id IN (SELECT id FROM {E} WHERE label = 1) AS active FROM {_POINTS}")
 def point_layers(spark, d):
     on = read(spark, d, "embeddings").where("label = 1").select(F.col("vec_id").alias("id"))
