@@ -252,6 +252,13 @@ def grid_without_collisions(spark, d):
     return layout.snap_to_grid(_points(spark, d))
 
 
+@register()
+def catalogue_layout(spark, d):
+    """Places of all vectors in the scaled layout of the whole table; its distances are tested in
+    tests/test_statistics.py."""
+    return layout.whole_layout(read(spark, d, "embeddings"), "vec_id", "embedding", "mds", landmarks=200)
+
+
 @register(f"SELECT id, title, artist FROM {_SONGS} ORDER BY title, id LIMIT 20")
 def second_page(spark, d):
     return presentation.page(songs(spark, d), 20, "title", "id").select("id", "title", "artist")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import written
+from ..functions import matrix
+from ..plans.durable import shared_dir, written
+from ..sources import sinks
 from .quantiles import grouped_quantiles
 
 
@@ -255,17 +259,83 @@ def neighbourhood_layout(rows: DataFrame, focal: int, id_col: str, vec_col: str,
     return rotate_and_snap(out, previous, focal) if previous is not None else out
 
 
+#: Rows that a layout of a whole catalogue is solved for, nearest of them that place another row, steps of a row.
+LANDMARKS, NEAREST, STEPS = 1000, 8, 40
+
+
+def whole_layout(rows: DataFrame, id_col: str, vec_col: str, method: str = "tsne", dims: int = 2, landmarks: int = LANDMARKS) -> DataFrame:
+    """(id, x, y[, z]) of a catalogue of any size: a fixed number of landmarks, chosen by a hash of the id, is solved
+    once; every other row is placed by its vector's distances from them, in one pass over the rows.
+
+    t-SNE places a row at the mean of its nearest landmarks, weighted by their affinity, which falls with the
+    distance as in the row's own neighbourhood. Scaling moves a row until its distances from the landmarks' places
+    fit those of the vectors. Up to ``landmarks`` rows, all are solved. Null ids and vectors that aren't usable
+    (null, a null or non-finite component, another length than most) have no place.
+    """
+    dim = matrix.dimension(rows, vec_col)
+    names = ["x", "y", "z"][:dims]
+    src = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(matrix.as_matrix(batch.column(1), dim)[1]))
+
+    src = src.mapInArrow(usable, src.schema)
+    own = src.orderBy(F.xxhash64("id"), "id").limit(landmarks).toPandas().sort_values("id")
+    x = np.stack(own["v"]).astype(float) if len(own) else np.zeros((0, dim))
+    z = (mds if method == "mds" else tsne)(x, dims)
+    place = _scaled_place if method == "mds" else _mean_place
+    shared = rows.sparkSession.sparkContext.broadcast((own["id"].to_numpy(np.int64), x, z))  # as many rows as landmarks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, z = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                given = part.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(ids, given), len(ids) - 1)
+                found = place(matrix.as_matrix(part.column(1), dim)[0], x, z)
+                found = np.where((ids[at] == given)[:, None], z[at], found)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["id", *names])
+
+    return src.mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in names))
+
+
+def _mean_place(v: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    d = np.maximum((v**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * v @ x.T, 0)
+    k = min(NEAREST, len(x))
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    d = np.take_along_axis(d, near, 1)
+    d = d - d.min(axis=1, keepdims=True)
+    w = np.exp(-3 * d / np.maximum(d.max(axis=1, keepdims=True), 1e-12))
+    return (w[:, :, None] * z[near]).sum(axis=1) / w.sum(axis=1)[:, None]
+
+
+def _scaled_place(v: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    d = 1 - np.clip(matrix.unit(v) @ matrix.unit(x).T, -1, 1)
+    at = z[np.argmin(d, axis=1)] + 1e-6
+    for _ in range(STEPS):
+        gap = at[:, None] - z[None]
+        at = (z[None] + gap * (d / np.maximum(np.linalg.norm(gap, axis=2), 1e-12))[:, :, None]).mean(axis=1)
+    return at
+
+
 class Projections:
-    """Layouts of whole catalogues, kept as written tables by version, number of dimensions and method."""
+    """Layouts of whole catalogues, kept as a published table by version, number of dimensions and method: who has
+    the folder finds what others have made, and a layout that broke off counts for nothing."""
 
-    def __init__(self) -> None:
-        self.kept: dict[tuple[str, int, str], DataFrame] = {}
+    def __init__(self, folder: str | None = None) -> None:
+        self.folder = folder
 
     def get(self, rows: DataFrame, version: str, dims: int = 2, method: str = "tsne", id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-        if (version, dims, method) not in self.kept:
-            p = project(rows.withColumn("quillet_set", F.lit("")), "quillet_set", id_col, vec_col, method, dims)
-            self.kept[version, dims, method] = written(p.drop("key"))
-        return self.kept[version, dims, method]
+        spark = rows.sparkSession
+        self.folder = self.folder or f"{shared_dir(spark)}/layouts-{uuid.uuid4().hex}"
+        path, batch = f"{self.folder}/{dims}-{method}", f"v{version}"
+        if not any(b == batch for b, _ in sinks.manifest(spark, path)):
+            sinks.publish(whole_layout(rows, id_col, vec_col, method, dims), path, batch)
+        schema = "id long, " + ", ".join(f"{c} double" for c in ["x", "y", "z"][:dims])
+        return sinks.published(spark, path, schema, batch)
 
     def invalidate(self) -> None:
-        self.kept.clear()
+        """Layouts are made anew from here on; who reads the old ones goes on."""
+        self.folder = f"{self.folder}-{uuid.uuid4().hex}" if self.folder else None

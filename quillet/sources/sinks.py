@@ -88,7 +88,7 @@ def manifest(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return list(first.items())
 
 
-def published(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The rows of all published batches."""
-    folders = [f"{path}/rows/{batch}/{attempt}" for batch, attempt in manifest(spark, path)]
+def published(spark: SparkSession, path: str, schema, batch: str | None = None) -> DataFrame:
+    """The rows of all published batches, or of one."""
+    folders = [f"{path}/rows/{b}/{attempt}" for b, attempt in manifest(spark, path) if batch in (None, b)]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)

@@ -67,3 +67,36 @@ def test_points_without_a_free_cell_stay(spark):
     want = {r.id: (r.gx, r.gy) for r in layout.spiral_free(cells).itertuples()}
     assert {r["id"]: (r["gx"], r["gy"]) for r in layout.collision_free(spark.createDataFrame(cells)).collect()} == want
     assert layout.collision_free(spark.createDataFrame(cells).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("method", ["mds", "tsne"])
+def test_layouts_of_whole_catalogues_keep_neighbourhoods(spark, method):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((6, 12)) * 4
+    label = rng.integers(0, 6, 700)
+    x = centres[label] + rng.standard_normal((700, 12)) * 0.5
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(700, None), (701, [1.0]), (702, [float("nan")] * 12), (None, [1.0] * 12)], "id long, embedding array<double>").repartition(3)
+    got = layout.whole_layout(df, "id", "embedding", method, landmarks=90).orderBy("id").toPandas()
+    assert got["id"].tolist() == list(range(700)) and np.isfinite(got[["x", "y"]]).all(axis=None)
+    z = got[["x", "y"]].to_numpy()
+    d = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :10]
+    assert (label[near] == label[:, None]).mean() >= 0.9  # of random places about a sixth
+    # Landmarks alone are solved as a small set is.
+    few = df.where("id < 40")
+    whole = layout.whole_layout(few, "id", "embedding", method).orderBy("id").toPandas()
+    small = (layout.mds if method == "mds" else layout.tsne)(x[:40])
+    assert np.allclose(whole[["x", "y"]], small)
+    assert layout.whole_layout(df.limit(0), "id", "embedding", method).count() == 0
+
+
+def test_layouts_are_kept_as_a_versioned_table(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 1.0, float(i * i % 7)]) for i in range(30)], "id long, embedding array<double>")
+    first = layout.Projections(f"file://{tmp_path}/layouts")
+    one = first.get(df, "1").orderBy("id").collect()
+    other = layout.Projections(f"file://{tmp_path}/layouts")  # another driver finds it
+    assert other.get(df.limit(0), "1").orderBy("id").collect() == one and other.get(df.limit(0), "2").count() == 0
+    assert other.get(df, "1", 3).columns == ["id", "x", "y", "z"]
+    first.invalidate()
+    assert first.get(df.limit(3), "1").count() == 3 and other.get(df, "1").count() == 30
