@@ -6,11 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import COS, TYPED, E, read, register, typed
-from .encoder import HashingEncoder
 from .functions import text as tx
 from .functions import vectors as v
-from .operators import audio, etl, features, fuzzy, layout, parser, presentation, retrieval, trigrams
-from .service import Service
+from .operators import audio, etl, features, fuzzy, instant, layout, parser, presentation, retrieval, trigrams
 from .streaming import jobs
 
 #: Songs for the shapes of results: parts stand in for them.
@@ -374,13 +372,36 @@ def instant_hits_batch(spark, d):
     return hits.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("category") == "song", 8).otherwise(5)).select("term", "category", "rank", "id")
 
 
-@register()
-def instant_search(spark, d):
-    """One instant search from end to end: hits by category, as rows."""
+def _instant(spark, d):
     news = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("snippet"))
-    words = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     part = read(spark, d, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     own = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("artist"), F.col("p_brand").alias("genre"), F.col("p_type").alias("lyrics_snippet"))
-    got = Service(own, news, words, HashingEncoder().encode).instant_search("blu bolt")
-    rows = [("artist", a["name"]) for a in got["artists"]] + [("song", f"{s['title']} {s['id']}") for s in got["songs"]] + [("news", str(n["id"])) for n in got["news"]]
-    return spark.createDataFrame(rows + [("correction", (got["correction"] or {}).get("corrected", ""))], "category string, name string")
+    return own, news, words
+
+
+@register()
+def instant_search(spark, d):
+    """Instant searches from end to end, many at once: hits by category, as rows; equal to single searches in
+    tests/test_engine.py."""
+    own, news, words = _instant(spark, d)
+    return instant.search(typed(spark), instant.searched(own, news, instant.dictionaries(own, news, words)))
+
+
+_FIELDS = "(SELECT 'artist' AS category, trim(p_type) AS key, p_type AS text FROM part UNION ALL SELECT 'song', CAST(p_partkey AS VARCHAR), p_name FROM part UNION ALL SELECT 'song', CAST(p_partkey AS VARCHAR), p_type FROM part UNION ALL SELECT 'news', CAST(doc_id AS VARCHAR), source FROM documents UNION ALL SELECT 'news', CAST(doc_id AS VARCHAR), text FROM documents)"
+
+
+@register(
+    f"""WITH q AS (SELECT p_name AS query, min(p_type) AS artist FROM part GROUP BY 1),
+    t AS (SELECT DISTINCT query, artist, unnest(list_concat([lower(query), lower(artist)], list_filter(string_split(lower(query), ' '), lambda w: len(w) >= 4))) AS term FROM q),
+    m AS (SELECT DISTINCT term, category, key FROM (SELECT DISTINCT term FROM t) JOIN (SELECT category, key, {_FOLD.format('text')} AS f FROM {_FIELDS}) s ON contains(f, term)),
+    h AS (SELECT DISTINCT query, artist, category, key FROM t JOIN m USING (term)),
+    r AS (SELECT query, category, key, CAST(row_number() OVER (PARTITION BY query, category ORDER BY CASE WHEN category = 'artist' AND key = artist THEN 0 ELSE 1 END, CASE WHEN category = 'artist' THEN 0 ELSE TRY_CAST(key AS BIGINT) END, key) AS INTEGER) AS rank FROM h)
+    SELECT query, category, rank, key FROM r WHERE rank <= CASE category WHEN 'song' THEN 8 ELSE 5 END"""
+)
+def instant_hits(spark, d):
+    """The category hits of given parses: every name, with the first type that has it as matched artist."""
+    own, news, _ = _instant(spark, d)
+    parsed = read(spark, d, "part").groupBy(F.col("p_name").alias("query")).agg(F.min("p_type").alias("matched_artist"))
+    parsed = parsed.select("query", F.col("query").alias("corrected"), "matched_artist", F.lit(None).cast("string").alias("matched_title"))
+    return instant.hits(parsed, instant.searched(own, news))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillet.encoder import HashingEncoder, encoder_udf
 from quillet.functions import text as tx
+from quillet.functions import distance
 from quillet.functions.distance import keyboard, weighted
 from quillet.operators import features, fuzzy, layout, retrieval, weighted as wt
 from quillet.sources import readers, sinks
@@ -131,3 +132,13 @@ def test_encoder(spark):
     v = HashingEncoder(64).encode("Boig per tu")
     assert len(v) == 64 and np.linalg.norm(v) == pytest.approx(1, abs=1e-5)
     assert len(spark.createDataFrame([("a b",)], "x string").select(encoder_udf()("x").alias("v")).first()["v"]) == 384
+
+
+def test_weighted_distances_of_many_pairs_equal_single_ones():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcàe pqr·ñ"), rng.integers(0, 9))) for _ in range(120)]
+    pairs = [(words[i], words[j]) for i, j in rng.integers(0, len(words), (900, 2))] + [("", ""), ("ab", "ba"), ("日本", "日")]
+    for cap in (float("inf"), 4.0, 1.5):
+        got = distance.weighted_pairs(pairs, cap)
+        assert got.tolist() == [distance.weighted(a, b, cap) for a, b in pairs]
+    assert distance.weighted_pairs([]).tolist() == []
