@@ -17,7 +17,9 @@ SLICE = 1000
 
 def keep_rows(df: DataFrame, model: Any, accept: Callable[[Any, list[str | None]], np.ndarray], text_col: str = "text") -> DataFrame:
     """Rows of ``df`` whose texts ``accept(model, texts)`` finds true. The model is broadcast: of a bounded
-    size. Rows that repeat are judged alike; an empty table stays empty."""
+    size. Rows that repeat are judged alike; an empty table stays empty; null texts are given as null. Columns go
+    along by their places, so that no name of theirs clashes with one in use here; of several named ``text_col``
+    the first is judged."""
     at = df.columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -94,7 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: s
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` with all columns whose text is scored THRESHOLD or more; null text counts as empty."""
+    """Rows of ``df`` with all columns whose text is scored THRESHOLD or more; null text counts as empty.
+    A score on the threshold counts as label 1, as in ``score``. Repeated rows are judged alike, columns of any name
+    go along, an empty table stays empty."""
     return keep_rows(df, model, lambda m, texts: m.scores([(t or "").encode() for t in texts]) >= THRESHOLD, text_col)
 
 
