@@ -89,3 +89,15 @@ def test_sessions_keep_their_chips_over_a_restart(spark, tmp_path):
         want = {r["id"]: r["score"] for r in retrieval.progressive_filter(rows, asked).collect()} if asked else {}
         assert kept.get(s, {}) == pytest.approx(want)
     assert sessions.survivors(rows, spark.createDataFrame([], "session string, step int, vec array<double>")).count() == 0
+
+
+def test_catalogue_files(spark, tmp_path):
+    """Songs and news as JSON arrays, a catalogue given by hand, packed texts as CSV, results as JSON."""
+    (tmp_path / "songs.json").write_text('[{"id": 1, "title": "T", "artist": "A", "year": 1990, "embedding": [0.5, 1], "more": 3},\n {"id": 2, "title": null}]')
+    got = {r["id"]: r for r in readers.songs(spark, f"file://{tmp_path}/songs.json").collect()}
+    assert got[1]["title"] == "T" and got[1]["embedding"] == [0.5, 1.0] and got[2]["artist"] is None and "more" not in got[1]
+    (tmp_path / "news.json").write_text('[{"id": 1, "title": "N", "date": "2024-02-29", "snippet": "s"}, {"id": 2, "date": "never"}, {"id": 3}]')
+    news = {r["id"]: r for r in readers.news(spark, f"file://{tmp_path}/news.json").collect()}
+    assert str(news[1]["day"]) == "2024-02-29" and news[3]["day"] is None
+    assert [tuple(r) for r in readers.catalog(spark, [("T", "A"), ("U", None)]).collect()] == [("T", "A"), ("U", None)]
+    assert sorted(r["body"] for r in sinks.as_json(spark.createDataFrame([(1, "a\"b"), (2, None)], "id int, t string")).collect()) == ['{"id":1,"t":"a\\"b"}', '{"id":2}']
