@@ -386,7 +386,7 @@ def comb_sum(width: int, radius: int) -> int:
 
 
 def shingle_sets(own: DataFrame, df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(node, s): the sorted shingle hashes of own(node, at), at the hash of a text of each node."""
+    """(node, s): the shingle hashes of own(node, at), sorted as the signed numbers that they are kept as, at the hash of a text of each node."""
     texts = df.select(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("t"), F.xxhash64(F.col(text_col).cast("binary")).alias("at"))
     few = own.limit(LOOKED_UP + 1).count() <= LOOKED_UP
     texts = texts.join(F.broadcast(own) if few else own, "at").groupBy("node").agg(F.first("t").alias("t"))
@@ -395,7 +395,7 @@ def shingle_sets(own: DataFrame, df: DataFrame, text_col: str, shingle: int) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle).view(np.int64)) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
     return save(texts.mapInArrow(tidied(run), "node long, s array<long>"))

@@ -38,6 +38,30 @@ def test_near_duplicates_are_decided_by_exact_similarity(spark):
     assert got == want
 
 
+def test_groups_with_failing_candidates_lose_no_link(spark):
+    """Clusters of texts that are near one another, but mostly not similar enough: what is similar is linked."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for cluster in range(8):
+        base = [f"c{cluster}w{x}" for x in rng.integers(0, 50000, 160)]
+        for member in range(14):
+            words = list(base)
+            at = int(rng.integers(0, 120))
+            n = int(rng.integers(2, 10))
+            words[at : at + n] = [f"m{member}x{cluster}y{i}" for i in range(n)]
+            rows.append((cluster * 100 + member, " ".join(words)))
+    rows += [(5000 + i, t) for i, (_, t) in enumerate(rows[::5])]  # copies
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in range(20):
+        for i in sets:
+            for j in sets:
+                if want[i] != want[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and 8 < len(set(want.values())) < len(rows)
+
+
 def test_components_never_gives_unsettled_labels(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
