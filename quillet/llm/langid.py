@@ -27,6 +27,8 @@ STORE = 300_000
 #: Times that an n-gram is met at least; an unseen run of letters is judged in slices of SLICE letters, and
 #: counts as a word for every LETTERS letters; longer runs than LONGEST are no entries of the word table.
 LEAST, SLICE, LETTERS, LONGEST = 3, 32, 10, 64
+#: Cells of a table of all languages that is kept laid out; beyond, strings keep their own languages alone.
+CELLS = 10_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,20 +50,34 @@ class Table(dict):
         self.above = (np.log(count[some] + 0.5) - np.log(0.5)).astype(np.float32)
         self.start = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int64)
         super().__init__((s, i) for i, s in enumerate(code.dictionary.filter(pa.array(keep)).to_pylist()))
+        self.spread()
 
     def __reduce__(self):
-        return _table, (dict(self), self.__dict__)
-
-    def add(self, out: np.ndarray, row: int, weight: float = 1.0) -> None:
-        """Adds to ``out`` what a string has above the base; a language stands once in a string's part."""
-        of = slice(self.start[row], self.start[row + 1])
-        out[self.lang[of]] += weight * self.above[of]
+        return _table, (dict(self), {k: v for k, v in self.__dict__.items() if k != "rows"})
+
+    def spread(self) -> None:
+        """Lays out what strings have above the base as rows of all languages, where that is not too large."""
+        self.rows = None
+        if len(self) * len(self.base) <= CELLS:
+            self.rows = np.zeros((len(self), len(self.base)), np.float32)
+            self.rows[np.repeat(np.arange(len(self)), np.diff(self.start)), self.lang] = self.above
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        """The mean log frequencies of some strings."""
+        if self.rows is not None:
+            return self.base + (self.rows[rows[0]] if len(rows) == 1 else self.rows[rows].mean(axis=0))
+        out = np.zeros(len(self.base))
+        for row in rows:  # a language stands once in a string's part
+            of = slice(self.start[row], self.start[row + 1])
+            out[self.lang[of]] += self.above[of]
+        return self.base + out / len(rows)
 
 
 def _table(rows: dict, more: dict) -> Table:
     t = Table.__new__(Table)
     t.update(rows)
     t.__dict__.update(more)
+    t.spread()
     return t
 
 
@@ -110,9 +126,7 @@ class Model:
         """What one token of ``word`` adds for each language."""
         i = self.words.get(word)
         if i is not None:
-            out = self.words.base.copy()
-            self.words.add(out, i)
-            return out
+            return self.words.mean([i])
         total = np.zeros(len(self.langs))
         for at in range(0, len(word), SLICE):
             part = min(len(word) - at, SLICE)
@@ -120,10 +134,7 @@ class Model:
                 table = self.grams[k]
                 known = [i for g in grams_of(word, k, at) if (i := table.get(g)) is not None]
                 if known:
-                    weight = BACKOFF * max(part / LETTERS, part / len(word))
-                    total += weight * table.base
-                    for i in known:
-                        table.add(total, i, weight / len(known))
+                    total += BACKOFF * max(part / LETTERS, part / len(word)) * table.mean(known)
                     break
         return total
 
