@@ -401,6 +401,20 @@ def test_op10_base_and_likelihood(spark, data, docs, odd):
     assert brown.score(odd).count() == len(ODD) and brown.score(odd.where("false")).count() == 0
 
 
+def test_op10_null_ids_are_not_learned_from(spark):
+    rows = [(i, f"a b c w{i % 7}") for i in range(60)]
+    more = rows + [(None, "a b only once")] * 3 + [(None, None)]
+    plain, got = (brown.score(spark.createDataFrame(r, "doc_id long, text string")).toPandas() for r in (rows, more))
+    nulls = got[got["doc_id"].isna()].sort_values("n_tokens")
+    own = got[got["doc_id"].notna()].sort_values("doc_id").reset_index(drop=True)
+    plain = plain.sort_values("doc_id").reset_index(drop=True)
+    assert (own[["held_out", "n_tokens", "n_known", "train_tokens"]] == plain[["held_out", "n_tokens", "n_known", "train_tokens"]]).all(axis=None)
+    assert np.allclose(own[["base_score", "score"]], plain[["base_score", "score"]], rtol=1e-12)
+    n = sum(5 for i, _ in rows if zlib.crc32(str(i).encode()) % 10)
+    assert set(got["train_tokens"]) == {n} and not nulls["held_out"].any()
+    assert list(zip(nulls["n_tokens"], nulls["n_known"])) == [(1, 1)] + [(5, 3)] * 3
+
+
 def test_exchange_never_loses_likelihood():
     rng = np.random.default_rng(3)
     n = rng.poisson(1.0, (20, 20)).astype(float)
